@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from recordframe.llm import quality_rules
+from recordframe.llm import quality_rules, sentencepiece_codec
 
 QUERIES = {
+    "op3_sentencepiece_codec": sentencepiece_codec.op3_sentencepiece_codec,
     "op5_quality_rules": quality_rules.op5_quality_rules,
 }
 ORACLES: dict[str, str] = {}
