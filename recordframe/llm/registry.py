@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from recordframe.llm import quality_rules, sentencepiece_codec
+from recordframe.llm import quality_rules, secret_scans, sentencepiece_codec, sharding
 
 QUERIES = {
+    "op1_secret_scans": secret_scans.op1_secret_scans,
+    "op2_sharding": sharding.op2_sharding,
     "op3_sentencepiece_codec": sentencepiece_codec.op3_sentencepiece_codec,
     "op5_quality_rules": quality_rules.op5_quality_rules,
 }
