@@ -365,13 +365,13 @@ def encode(documents: DataFrame, model_path: str, id_col: str = "doc_id", text_c
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         m = _model(shared.value)
-        for keys, texts in slices(b.column(0), b.column(1)):
-            coded = m.encode([t.as_py() for t in texts])
+        for keys, texts in slices(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            coded = m.encode(texts)
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(i) for i, _ in coded], dtype=np.int64))).astype(np.int32))
             ids = np.concatenate([i for i, _ in coded])
             ends = np.concatenate([e for _, e in coded]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k.as_py() for k in keys], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(ends)), pa.array([m.decode(i.tolist()) for i, _ in coded], pa.string())],
+                [pa.array(keys, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(ends)), pa.array([m.decode(i.tolist()) for i, _ in coded], pa.string())],
                 names=["doc_id", "ids", "ends", "decoded"],
             )
 
