@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordframe.llm import pii, quality_rules, secret_scans, sentencepiece_codec, sharding, url_filters
+from recordframe.llm import pii, quality_rules, secret_scans, sentencepiece_codec, sharding, topk_search, url_filters
 
 QUERIES = {
     "op1_secret_scans": secret_scans.op1_secret_scans,
@@ -11,5 +11,8 @@ QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_url_filters": url_filters.op7_url_filters,
     "op8_pii": pii.op8_pii,
+    "op9_topk_search": topk_search.op9_topk_search,
+}
+ORACLES: dict[str, str] = {
+    "op9_topk_search": topk_search.ORACLE,
 }
-ORACLES: dict[str, str] = {}
