@@ -44,54 +44,23 @@ from pyspark.sql import functions as F
 
 from recordframe.llm.common import id_and_text, map_rows, materialize, table
 from recordframe.llm.components import components
+from recordframe.llm.hashing import BASE, U, mix, word_hashes
 
 SHINGLE = 5
 MEMBERS = 4_000_000  #: shingles of a block, 32 MB
 FANOUT = 16
-_U = np.uint64
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x + _U(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
-_VALUE = _mix(_LOWER)
-_IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-_BASE = 0x2545F4914F6CDD1D  # odd, so it has an inverse modulo 2 ** 64
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base, and of its inverse."""
-    if len(_powers[0]) < n:
-        size = 1 << n.bit_length()
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            x = np.full(size, b, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0][:n], _powers[1][:n]
 
 
 def shingles(text: bytes) -> np.ndarray:
     """The distinct shingles of a text, sorted."""
-    b = np.frombuffer(text, np.uint8)
-    inside = ~_IS_SPACE[b]
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False]))))
-    if not len(edges):
+    words = word_hashes(text)
+    if not len(words):
         return np.zeros(0, np.uint64)
-    starts, ends = edges[::2], edges[1::2]
-    power, inverse = _power(len(b) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUE[b] * power[: len(b)])))
-    words = _mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     n = min(SHINGLE, len(words))
     h = np.full(len(words) - n + 1, n, np.uint64)
     for k in range(n):
-        h = h * _U(_BASE) + words[k : len(words) - n + 1 + k]
-    return np.unique(_mix(h))
+        h = h * U(BASE) + words[k : len(words) - n + 1 + k]
+    return np.unique(mix(h))
 
 
 def digest(s: np.ndarray) -> int:
@@ -103,18 +72,18 @@ def routing_keys(s: np.ndarray) -> np.ndarray:
     a = len(s)
     own = a.bit_length() - 1
     out = []
-    mixed = _mix(s)
+    mixed = mix(s)
     for label in (own, own + 1) if 5 * a >= 4 << own + 1 else (own,):
         k = (2 << label) * 11 // 40 + 5
-        segment = (s >> _U(32)) * _U(k) >> _U(32)
+        segment = (s >> U(32)) * U(k) >> U(32)
         first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
         which = segment[first]
         content = np.add.reduceat(mixed, first)
         need = a // 4 + 1
-        out.append(_mix(content[:need] ^ _mix(which[:need] + _U(label << 40))))
+        out.append(mix(content[:need] ^ mix(which[:need] + U(label << 40))))
         if len(first) < need:
             empty = np.setdiff1d(np.arange(k, dtype=np.uint64), which)
-            out.append(_mix(_U(1) ^ _mix(empty + _U(label << 40))))
+            out.append(mix(U(1) ^ mix(empty + U(label << 40))))
     return np.concatenate(out)
 
 
@@ -161,8 +130,8 @@ class SignatureTree:
             width >>= 1
         self.bits = np.zeros((n, width // 64), np.uint64)
         for i, s in enumerate(sets):
-            at = (s & _U(width - 1)).astype(np.int64)
-            np.bitwise_or.at(self.bits[i], at >> 6, _U(1) << (at & 63).astype(np.uint64))
+            at = (s & U(width - 1)).astype(np.int64)
+            np.bitwise_or.at(self.bits[i], at >> 6, U(1) << (at & 63).astype(np.uint64))
         self.shared = self.size - np.bitwise_count(self.bits).sum(1).astype(np.int64)
         self.forest = Forest(n)
         order = sorted(range(n), key=lambda i: (int(sets[i][0]), int(self.size[i])))  # sets with an equal least hash stand together
