@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordframe.llm import jaccard_join, mixing, pii, quality_rules, secret_scans, sentencepiece_codec, sharding, topk_search, url_filters
+from recordframe.llm import jaccard_join, lm_scoring, mixing, pii, quality_rules, secret_scans, sentencepiece_codec, sharding, topk_search, url_filters
 
 QUERIES = {
     "op1_secret_scans": secret_scans.op1_secret_scans,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_url_filters": url_filters.op7_url_filters,
     "op8_pii": pii.op8_pii,
     "op9_topk_search": topk_search.op9_topk_search,
+    "op10_lm_scoring": lm_scoring.op10_lm_scoring,
 }
 ORACLES: dict[str, str] = {
     "op9_topk_search": topk_search.ORACLE,
