@@ -85,7 +85,7 @@ def write_tsv(df: DataFrame, path: str, style: str = "quote", delimiter: str = "
         begun = False
         for b in batches:
             if not begun:
-                yield pa.RecordBatch.from_arrays([pa.array([head])], names=["line"])
+                yield pa.RecordBatch.from_arrays([pa.array([head], b.schema.field(0).type)], schema=b.schema)
                 begun = True
             yield b
 
