@@ -10,17 +10,19 @@
    one segment only.  A set without so many filled segments emits the empty
    ones too.  Sets near the end of a size range also emit the keys of the next.
    So no link is lost, and no frequency of anything has to be counted.
-3. Classes that share keys, transitively, form a candidate group (components
-   over star edges).  Shared passages alone rarely spoil no segment, so most
-   groups are little larger than the true ones.
-4. In each group the classes are packed into a signature tree: leaves of
-   similar sets, nodes with the OR of their token bitmaps, their range of sizes
-   and the most tokens that share a bit.  The tree is traversed against itself:
-   a pair of nodes is passed over if no two sets in it can have the sizes or
-   the overlap that a link needs, or if all its sets are connected already.
-   What is left at the leaves is compared exactly.
-   A group of more than ``MEMBERS`` shingles is cut into blocks by hash, and
-   each pair of blocks is a task of its own; their links are joined at the end.
+3. The classes of a key are packed into a signature tree: leaves of similar
+   sets, nodes with the OR of their token bitmaps and their range of sizes.  A
+   token's bit is its bucket and its place among the set's tokens there, so a
+   bitmap is kept as a count for each bucket, OR is the greater count, and no
+   two tokens of a set share a bit.  The tree is traversed against itself: a
+   pair of nodes is passed over if no two sets in it can have the sizes or the
+   overlap that a link needs, or if all its sets are connected already.  What
+   survives connects classes to candidate groups.
+4. Each candidate group is joined by a tree in the same way, but pairs of sets
+   that survive at the leaves are compared exactly.
+   Keys with more than ``KEY_MEMBERS`` classes, and groups of more than
+   ``MEMBERS`` shingles, are cut into blocks by hash; each pair of blocks is a
+   task of its own, and their links are joined afterwards.
 
 Nothing unbounded is collected: not links, nor groups, nor fingerprints.
 
@@ -39,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordframe.llm.common import id_and_text, map_rows, materialize, table
@@ -48,6 +50,7 @@ from recordframe.llm.hashing import BASE, U, mix, word_hashes
 
 SHINGLE = 5
 MEMBERS = 4_000_000  #: shingles of a block, 32 MB
+KEY_MEMBERS = 100_000  #: classes of a key in a block
 FANOUT = 16
 
 
@@ -113,28 +116,36 @@ class Forest:
 
 
 class Node:
-    __slots__ = ("children", "rows", "bits", "low", "high", "shared", "whole")
+    __slots__ = ("children", "rows", "bits", "low", "high", "whole")
 
-    def __init__(self, children, rows, bits, low, high, shared):
-        self.children, self.rows, self.bits, self.low, self.high, self.shared, self.whole = children, rows, bits, low, high, shared, False
+    def __init__(self, children, rows, bits, low, high):
+        self.children, self.rows, self.bits, self.low, self.high, self.whole = children, rows, bits, low, high, False
+
+
+def buckets(size: int) -> int:
+    """Counts in the signature of a set: a power of two, an eighth to a quarter of the size or more."""
+    return max(32, 1 << max(0, size.bit_length() - 3))
+
+
+def signature(s: np.ndarray, n: int) -> np.ndarray:
+    """The set's token bitmap over n buckets, as a count for each (255 stands for more)."""
+    return np.minimum(np.bincount((s & U(n - 1)).astype(np.int64), minlength=n), 255).astype(np.uint8)
+
+
+def _folded(x: np.ndarray, n: int) -> np.ndarray:
+    """A signature over fewer buckets."""
+    return x.reshape(-1, n).sum(0) if len(x) > n else x
 
 
 class SignatureTree:
-    """Sets under nodes with OR-combined bitmaps and size ranges; its self-join links sets in ``forest``."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets, n = sets, len(sets)
-        self.size = np.array([len(s) for s in sets])
-        width = 1 << max(8, min(16, int(4 * self.size.max()).bit_length()))
-        while width > 256 and width * n > 8 * (64 << 20):
-            width >>= 1
-        self.bits = np.zeros((n, width // 64), np.uint64)
-        for i, s in enumerate(sets):
-            at = (s & U(width - 1)).astype(np.int64)
-            np.bitwise_or.at(self.bits[i], at >> 6, U(1) << (at & 63).astype(np.uint64))
-        self.shared = self.size - np.bitwise_count(self.bits).sum(1).astype(np.int64)
+    """Signatures under nodes with OR-combined bitmaps and size ranges; its self-join links those for which ``same`` holds."""
+
+    def __init__(self, signatures: list[np.ndarray], sizes: np.ndarray, same=None):
+        n, width = len(signatures), min(map(len, signatures))
+        self.same, self.size = same, np.asarray(sizes, np.int64)
+        self.bits = np.stack([_folded(x, width) for x in signatures]).astype(np.int16)
         self.forest = Forest(n)
-        order = sorted(range(n), key=lambda i: (int(sets[i][0]), int(self.size[i])))  # sets with an equal least hash stand together
+        order = np.lexsort((*self.bits[:, :8].T, self.size)).tolist()  # copies stand together
         level = [self._node(None, order[i : i + FANOUT]) for i in range(0, n, FANOUT)]
         while len(level) > 1:
             level = [self._node(level[i : i + FANOUT], None) for i in range(0, len(level), FANOUT)]
@@ -143,8 +154,8 @@ class SignatureTree:
     def _node(self, children: list[Node] | None, rows: list[int] | None) -> Node:
         if rows is not None:
             r = np.array(rows)
-            return Node(None, r, np.bitwise_or.reduce(self.bits[r], 0), self.size[r].min(), self.size[r].max(), self.shared[r].max())
-        return Node(children, None, np.bitwise_or.reduce([c.bits for c in children], 0), min(c.low for c in children), max(c.high for c in children), max(c.shared for c in children))
+            return Node(None, r, self.bits[r].max(0), self.size[r].min(), self.size[r].max())
+        return Node(children, None, np.max([c.bits for c in children], 0), min(c.low for c in children), max(c.high for c in children))
 
     def _whole(self, x: Node) -> int:
         """The root that all sets below share, or -1."""
@@ -160,8 +171,8 @@ class SignatureTree:
     def _possible(self, x: Node, y: Node) -> bool:
         if 5 * x.high < 4 * y.low or 5 * y.high < 4 * x.low:
             return False
-        most = int(np.bitwise_count(x.bits & y.bits).sum()) + min(x.shared, y.shared)
-        return 9 * most >= 4 * (x.low + y.low)
+        most = int(np.minimum(x.bits, y.bits).sum())
+        return bool((x.bits.max() >= 255) & (y.bits.max() >= 255)) or 9 * most >= 4 * (x.low + y.low)
 
     def join(self) -> Forest:
         self._join(self.top, self.top)
@@ -186,7 +197,8 @@ class SignatureTree:
 
     def _leaves(self, x: Node, y: Node) -> None:
         a, b = x.rows, y.rows
-        both = np.bitwise_count(self.bits[a][:, None] & self.bits[b][None]).sum(2).astype(np.int64) + np.minimum(self.shared[a][:, None], self.shared[b][None])
+        both = np.minimum(self.bits[a][:, None], self.bits[b][None]).sum(2)
+        both[(self.bits[a].max(1) >= 255)[:, None] & (self.bits[b].max(1) >= 255)[None]] = 1 << 40  # counts are cut off
         m, n = self.size[a][:, None], self.size[b][None]
         maybe = (9 * both >= 4 * (m + n)) & (5 * m >= 4 * n) & (5 * n >= 4 * m)
         if x is y:
@@ -194,7 +206,7 @@ class SignatureTree:
         root = self.forest.root
         for i, j in zip(*np.nonzero(maybe)):
             i, j = int(a[i]), int(b[j])
-            if root(i) != root(j) and linked(self.sets[i], self.sets[j]):
+            if root(i) != root(j) and (self.same is None or self.same(i, j)):
                 self.forest.join(i, j)
 
 
@@ -202,13 +214,14 @@ class SignatureTree:
 
 
 def fingerprints(texts: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (null for an empty set)."""
+    """doc_id, n_shingles, class (null for an empty set) and the signature."""
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = [shingles(t.as_py()) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "class"])
+        seals = [signature(s, buckets(2 * len(s))).tobytes() if len(s) else None for s in sets]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.array(seals, pa.binary())], names=["doc_id", "n_shingles", "class", "signature"])
 
-    return map_rows(texts, run, "doc_id long, n_shingles long, class long")
+    return map_rows(texts, run, "doc_id long, n_shingles long, class long, signature binary")
 
 
 def _routed(texts: DataFrame) -> DataFrame:
@@ -232,40 +245,82 @@ def _routed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "key long, class long")
 
 
-def _links(members: DataFrame) -> DataFrame:
-    """(a, b) class links of the groups; members: group, one, two, class, text, sorted by group within partitions."""
+def _by_group(rows: DataFrame, solve) -> DataFrame:
+    """(a, b) links: rows are of groups (their first three columns) and members, sorted by group within partitions.
 
-    def solve(group: dict[int, np.ndarray]) -> tuple[list[int], list[int]]:
-        names = sorted(group)
-        forest = SignatureTree([group[d] for d in names]).join()
-        return names, [names[forest.root(i)] for i in range(len(names))]
+    solve gets a group's members as lists, one for each further column, and
+    gives the members' names and the name of each one's root.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, {}
+        now, group = None, []
         nodes: list[int] = []
         roots: list[int] = []
+        done: set[int] = set()
+
+        def finish() -> None:
+            names = tuple(sorted({m[0] for m in group}))
+            if len(names) > 1 and hash(names) not in done:  # the same classes often share many keys
+                if len(done) < 1 << 20:
+                    done.add(hash(names))
+                x, y = solve(group)
+                for i, r in zip(x, y):
+                    if i != r:
+                        nodes.append(i)
+                        roots.append(r)
+
         for b in batches:
-            for g, one, two, d, t in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4)):
-                if (g, one, two) != now:
-                    if len(group) > 1:
-                        x, y = solve(group)
-                        nodes += x
-                        roots += y
-                    now, group = (g, one, two), {}
-                if d not in group:
-                    s = shingles(t.as_py())
-                    if digest(s) == d:  # another row may have the same id
-                        group[d] = s
+            where = list(zip(*(b.column(i).to_pylist() for i in range(3))))
+            for g, member in zip(where, zip(*(b.column(i).to_pylist() for i in range(3, b.num_columns)))):
+                if g != now:
+                    if group:
+                        finish()
+                    now, group = g, []
+                group.append(member)
             if len(nodes) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], names=["a", "b"])
-                nodes, roots = [], []
-        if len(group) > 1:
-            x, y = solve(group)
-            nodes += x
-            roots += y
+                nodes.clear()
+                roots.clear()
+        if group:
+            finish()
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], names=["a", "b"])
 
-    return members.mapInArrow(run, "a long, b long").filter("a <> b")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _compatible(group: list[tuple]) -> tuple[list[int], list[int]]:
+    """Members: class, size, signature.  Links those that may be near duplicates by their signatures."""
+    members = {m[0]: m for m in group}
+    names = sorted(members)
+    forest = SignatureTree([np.frombuffer(members[d][2], np.uint8) for d in names], [members[d][1] for d in names]).join()
+    return names, [names[forest.root(i)] for i in range(len(names))]
+
+
+def _near(group: list[tuple]) -> tuple[list[int], list[int]]:
+    """Members: class, text.  Links near duplicates."""
+    sets: dict[int, np.ndarray] = {}
+    for d, text in group:
+        if d not in sets and digest(s := shingles(text)) == d:  # another row may have the same id
+            sets[d] = s
+    names = sorted(sets)
+    if len(names) < 2:
+        return [], []
+    held = [sets[d] for d in names]
+    width = buckets(max(map(len, held)))
+    forest = SignatureTree([signature(s, width) for s in held], [len(s) for s in held], lambda i, j: linked(held[i], held[j])).join()
+    return names, [names[forest.root(i)] for i in range(len(names))]
+
+
+def _blocked(rows: DataFrame, group: str, blocks: str) -> DataFrame:
+    """Rows with ``one`` and ``two``: a row of a group cut into blocks goes to every pair of blocks that has its own."""
+    own = F.pmod(F.xxhash64("class"), F.col(blocks)).cast("int")
+    every = F.sequence(F.lit(0), F.col(blocks) - 1)
+    return rows.withColumn("other", F.explode(every)).withColumns({"one": F.least(own, F.col("other")), "two": F.greatest(own, F.col("other"))}).drop("other", blocks)
+
+
+def _sorted(rows: DataFrame, *columns: str) -> DataFrame:
+    keys = [columns[0], "one", "two"]
+    return rows.select(*keys, *columns[1:]).repartition(*keys).sortWithinPartitions(*keys)
 
 
 def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,19 +331,18 @@ def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     named = slim.withColumn("key_id", F.coalesce("doc_id", F.lit(none)))
     classes = named.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("key_id").alias("holder"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"))
 
-    from pyspark.sql import Window
-
-    star = _routed(texts).withColumn("b", F.min("class").over(Window.partitionBy("key"))).filter("class <> b").select(F.col("class").alias("a"), "b").distinct()
+    of = Window.partitionBy("key")
+    met = _routed(texts).withColumn("n", F.count("*").over(of)).filter("n > 1")
+    seals = slim.filter(F.col("class").isNotNull()).groupBy("class").agg(F.first("n_shingles").alias("size"), F.first("signature").alias("signature"))
+    routed = _blocked(met.join(seals, "class").withColumn("blocks", F.ceil(F.col("n") / KEY_MEMBERS).cast("int")), "key", "blocks")
+    star = _by_group(_sorted(routed, "key", "class", "size", "signature"), _compatible).distinct()
     candidates = materialize(components(star))
     sized = candidates.withColumnRenamed("node", "class").join(classes, "class")
     blocks = materialize(sized.groupBy("root").agg(F.ceil(F.sum("n") / MEMBERS).cast("int").alias("blocks")))
     held = sized.join(blocks, "root").select("class", "holder", F.col("root").alias("group"), "blocks")
-    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    held = held.withColumn("other", F.explode(every)).select("class", "holder", "group", F.least(own, F.col("other")).alias("one"), F.greatest(own, F.col("other")).alias("two"))
-    got = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(none))).join(held, F.col("doc_id") == F.col("holder"))
-    members = got.select("group", "one", "two", "class", "text").repartition("group", "one", "two").sortWithinPartitions("group", "one", "two", "class")
-    links = materialize(_links(members))
+    named_texts = texts.select(F.coalesce("doc_id", F.lit(none)).alias("holder"), "text")
+    members = _blocked(named_texts.join(held, "holder"), "group", "blocks")
+    links = materialize(_by_group(_sorted(members, "group", "class", "text"), _near))
     if blocks.filter("blocks > 1").isEmpty():
         roots = links.select(F.col("a").alias("class"), F.col("b").alias("root"))  # already stars
     else:
