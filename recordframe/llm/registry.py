@@ -17,5 +17,7 @@ QUERIES = {
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
 }
 ORACLES: dict[str, str] = {
+    "op1_secret_scans": secret_scans.ORACLE,
+    "op4_jaccard_join": jaccard_join.ORACLE,
     "op9_topk_search": topk_search.ORACLE,
 }

@@ -141,3 +141,45 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda k: F.size(F.filter("base_spans", lambda x: x["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), n("assign"), n("access"), n("hex"), F.sha2(_told(F.col("base_spans")), 256).alias("base_sha256"), _told(F.array_sort(F.concat("base_spans", "linked_spans"))).alias("spans"))
+
+
+def _oracle() -> str:
+    """The same in SQL: positions from the lengths between matches, and a weak candidate's complement looked for among all parts of its scope."""
+    quoted = lambda p: p.replace("'", "''")
+    kinds = [("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("identifier", IDENTIFIER, 2), ("weak", WEAK, 2), ("endpoint", ENDPOINT, 2), ("break", BREAK, 0)]
+    matches = " UNION ALL ".join(
+        f"SELECT doc_id, '{kind}' AS kind, string_split_regex(s, '{quoted(p)}') AS between, regexp_extract_all(s, '{quoted(p)}') AS hits, regexp_extract_all(s, '{quoted(p)}', {g}) AS parts FROM t"
+        for kind, p, g in kinds
+    )
+    order = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
+    told = lambda where: f"coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k, stop) FILTER (WHERE {where}), '')"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS s FROM documents), m AS ({matches}),
+i AS (SELECT doc_id, kind, between, hits, parts, unnest(range(1, len(hits) + 1)) AS i FROM m),
+p AS (
+  SELECT doc_id, kind, length(parts[i]) AS chars, length(hits[i]) AS size,
+    CAST(list_sum(list_transform(between[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM i
+),
+e AS (
+  SELECT DISTINCT doc_id, CASE WHEN kind = 'assign' AND chars < 8 THEN 'weak' ELSE kind END AS kind, start, start + size AS stop
+  FROM p WHERE NOT (kind = 'weak' AND chars < 4)
+),
+f AS (SELECT *, {order} AS k, CASE WHEN kind IN ('assign', 'hex', 'weak') THEN 's' WHEN kind IN ('access', 'identifier') THEN 'i' ELSE 'e' END AS part FROM e WHERE kind <> 'break'),
+linked AS (
+  SELECT DISTINCT a.doc_id, a.kind, a.start, a.stop, a.k FROM f AS a JOIN f AS b ON a.doc_id = b.doc_id
+  WHERE a.kind IN ('identifier', 'weak', 'endpoint') AND (a.part = 's') <> (b.part = 's')
+    AND greatest(a.start - b.stop, b.start - a.stop) <= {WINDOW}
+    AND NOT EXISTS (SELECT 1 FROM e AS x WHERE x.doc_id = a.doc_id AND x.kind = 'break' AND x.start > least(a.start, b.start) AND x.start < greatest(a.start, b.start))
+),
+every AS (
+  SELECT doc_id, kind, start, stop, k, TRUE AS base FROM f WHERE kind IN ('assign', 'access', 'hex')
+  UNION ALL SELECT doc_id, kind, start, stop, k, FALSE FROM linked
+)
+SELECT t.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+  sha256({told("base")}) AS base_sha256, {told("kind IS NOT NULL")} AS spans
+FROM t LEFT JOIN every ON every.doc_id = t.doc_id GROUP BY t.doc_id
+"""
+
+
+ORACLE = _oracle()

@@ -503,3 +503,16 @@ def test_training_helps_on_held_out_texts(subwords, docs):
 def test_long_runs(subwords):
     for t in (b"x" * 50_000, b" " * 50_000 + b"y", "é".encode() * 9_000):
         assert subwords.encoding.decode(subwords.ids(t)[:-1].tolist()).encode() == t
+
+
+def test_sql_of_secrets(spark, docs, tmp_path):
+    """The SQL and the operator agree, also where weak candidates link."""
+    import duckdb
+
+    extra = [(100_000 + i, t) for i, t in enumerate([*SECRETS, *(r[1] for r in ODD if r[0] == 9)])]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {tuple(r) for r in registry.QUERIES["op1_secret_scans"](spark, str(tmp_path)).collect()}
+    assert got == set(con.sql(secret_scans.ORACLE).fetchall())
