@@ -138,3 +138,17 @@ def test_command_line(tmp_path):
     out = io.StringIO()
     assert cli.main(["-m"], io.BytesIO(b">test\nACGT"), out) == 0 and out.getvalue() == "key\tvalue\n"
     assert cli.main([], io.BytesIO(b"\0\0\0\0"), io.StringIO()) == 1
+
+
+def test_streamed_spectra(spark, tmp_path):
+    from recordframe.streaming import stream_spectra
+
+    for k in range(2):
+        (tmp_path / f"f{k}").write_bytes(encode.chemstation_ms([(1000 * i, [(20, 5), (20, 7), (40, 1)]) for i in range(3)]))
+    spectra = stream_spectra(stream_records(spark, str(tmp_path), "chemstation_ms", max_files=1), "2020-01-01 00:00:00")
+    q = spectra.writeStream.format("memory").queryName("spectra").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted((r._path.rsplit("/", 1)[1], round(r.time * 60), r.mz, r.intensity) for r in spark.sql("SELECT * FROM spectra").collect())
+    assert got == sorted((f"f{k}", i, m, v) for k in range(2) for i in range(3) for m, v in ((1.0, 12.0), (2.0, 1.0)))
+    with pytest.raises(ValueError):
+        stream_records(spark, str(tmp_path), "masshunter_dad")
