@@ -27,6 +27,8 @@ class Dialect:
 
 def split(line: str, delimiter: str, quote: str) -> list[str]:
     """Cells of a line; quotes must touch delimiters, and are doubled inside quotes."""
+    if quote not in line:
+        return line.split(delimiter)
     cells, at = [], 0
     while True:
         if line.startswith(quote, at):
@@ -103,6 +105,10 @@ def coerce(cells: list[str], kind: int) -> pa.Array:
         return pa.array([c.strip() in TRUE for c in cells], pa.bool_())
     if kind == STRING:
         return pa.array(cells, pa.string())
+    try:
+        return pa.array(cells, pa.string()).cast(pa.int64() if kind == INTEGER else pa.float64())
+    except pa.ArrowInvalid:  # spaces, signs, and cells that are no numbers
+        pass
     make = int if kind == INTEGER else float
     low, high = -(1 << 63), (1 << 63) - 1
 
@@ -138,7 +144,9 @@ def table(data: bytes, delimiter: str | None = None, quote: str | None = None, s
     out = {}
     for name, cells in zip(names, columns):
         mask = INTEGER | FLOAT | BOOLEAN | STRING if cells and infer_types else STRING
-        for c in cells if infer_types else ():
+        for c in set(cells) if infer_types else ():
             mask &= cell_mask(c)
+            if mask == STRING:
+                break
         out[name] = coerce(list(cells), column_type(mask))
     return Decoded(out)

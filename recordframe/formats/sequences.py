@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import struct
 
 import numpy as np
@@ -19,7 +18,10 @@ _TAG = {"A": "c", "c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<
 
 
 def _text(values: list[bytes]) -> pa.Array:
-    return pa.array([v.decode("utf-8", "replace") for v in values], pa.string())
+    try:
+        return pa.array(values, pa.binary()).cast(pa.string())  # checks that it is UTF-8
+    except pa.ArrowInvalid:
+        return pa.array([v.decode("utf-8", "replace") for v in values], pa.string())
 
 
 def fasta(data: bytes) -> Decoded:
@@ -27,7 +29,7 @@ def fasta(data: bytes) -> Decoded:
     if data and not data.startswith(b">"):
         raise RecordFormatError("Valid FASTA records start with '>'", 0, 0)
     ids, sequences, at = [], [], 0
-    records = re.split(rb"(?:^|\n)>", data)[1:]
+    records = data[1:].split(b"\n>") if data else []
     for i, record in enumerate(records):
         head, newline, rest = record.partition(b"\n")
         if not newline and i + 1 == len(records):  # elsewhere the line's end is that before the next '>'
@@ -126,7 +128,13 @@ def _number(v) -> str:
     return np.format_float_positional(np.float32(v), trim="-") if isinstance(v, float) else str(v)
 
 
-_PAIRS = np.array([[ord(BASES[b >> 4]), ord(BASES[b & 15])] for b in range(256)], np.uint8)
+_NIBBLES = str.maketrans("0123456789abcdef", BASES)
+_QUALITY = bytes(min(q + 33, 255) for q in range(256))
+_HEAD = struct.Struct("<iiBBHHHIiii")
+
+
+def _cigar(raw: bytes) -> str:
+    return "".join(f"{x >> 4}{CIGAR[x & 15]}" for x in struct.unpack(f"<{len(raw) // 4}I", raw))
 
 
 def bam(data: bytes) -> Decoded:
@@ -142,26 +150,44 @@ def bam(data: bytes) -> Decoded:
 
     def name(i: int) -> str:
         if i >= len(names):
-            raise RecordFormatError("Invalid reference sequence id", c.at, len(rows))
+            raise RecordFormatError("Invalid reference sequence id", at, len(rows))
         return names[i] if i >= 0 else ""
 
     rows: list[tuple] = []
-    while c.at < len(data):
-        size = c.read("<I")
+    cigars: dict[bytes, str] = {}
+    at, total = c.at, len(data)
+    while at < total:
+        if at + 4 > total:
+            raise RecordFormatError("File ended early", at, len(rows))
+        size = int.from_bytes(data[at : at + 4], "little")
         if size < 32:
-            raise RecordFormatError("Record is unexpectedly short", c.at, len(rows))
-        end = c.at + size
-        if end > len(data):
-            raise RecordFormatError("File ended early", c.at, len(rows))
-        ref, pos, n_name, mapq, _, n_ops, flag, n, next_ref, pnext, tlen = c.read("<iiBBHHHIiii")
-        query = c.take(n_name).removesuffix(b"\0").decode("utf-8", "replace")
-        cigar = "".join(f"{x >> 4}{CIGAR[x & 15]}" for x in c.array("<u4", n_ops).tolist())
-        bases = _PAIRS[c.array("u1", (n + 1) // 2)].ravel()[:n].tobytes().decode()
-        q = c.array("u1", n)
-        quality = "" if not n or q[0] == 255 else np.minimum(q.astype(np.int64) + 33, 255).astype(np.uint8).tobytes().decode("latin-1")
-        extra = _tags(c, end)
+            raise RecordFormatError("Record is unexpectedly short", at, len(rows))
+        end = at + 4 + size
+        if end > total:
+            raise RecordFormatError("File ended early", at, len(rows))
+        ref, pos, n_name, mapq, _, n_ops, flag, n, next_ref, pnext, tlen = _HEAD.unpack_from(data, at + 4)
+        a = at + 36
+        b = a + n_name
+        o = b + 4 * n_ops
+        q = o + (n + 1) // 2
+        if q + n > end:
+            raise RecordFormatError("Record is too short for its fields", at, len(rows))
+        query = data[a:b].removesuffix(b"\0").decode("utf-8", "replace")
+        raw = data[b:o]
+        cigar = cigars.get(raw)
+        if cigar is None:
+            cigar = _cigar(raw)
+            if len(cigars) < 100_000:
+                cigars[raw] = cigar
+        bases = data[o:q].hex().translate(_NIBBLES)[:n]
+        quality = "" if not n or data[q] == 255 else data[q : q + n].translate(_QUALITY).decode("latin-1")
+        if q + n < end:
+            c.at = q + n
+            extra = _tags(c, end)
+        else:
+            extra = ""
         rows.append((query, flag, name(ref), pos if pos >= 0 else None, mapq if mapq != 255 else None, cigar, name(next_ref), pnext if pnext >= 0 else None, tlen, bases, quality, extra))
-        c.at = end
+        at = end
     return _alignments(rows)
 
 
