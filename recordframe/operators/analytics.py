@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +20,7 @@ def axis_of(df: DataFrame) -> str:
     raise KeyError("records have neither mz nor wavelength")
 
 
-def spectra(df: DataFrame, time_res: float = 0, merge: str = "sum", by: list[str] | None = None, order: str = "_idx", axis: str | None = None, compat: bool = False) -> DataFrame:
+def spectra(df: DataFrame, time_res: float = 0, merge: str | Callable[[Column], Column] = "sum", by: list[str] | None = None, order: str = "_idx", axis: str | None = None, compat: bool = False) -> DataFrame:
     """A row for each spectrum: the columns of ``by``, time, and a map from axis values to merged intensities.
 
     A spectrum begins with the first record more than ``time_res`` after the
@@ -26,6 +28,9 @@ def spectra(df: DataFrame, time_res: float = 0, merge: str = "sum", by: list[str
     other ``by``).  With time_res 0 and times that do not fall, a spectrum is
     the records of one time, and nothing has to be in order.
 
+    merge: how the intensities of equal axis values become one, by name or as
+    an aggregate (also a grouped-aggregate pandas UDF) of their column.
+
     compat: as a reader that loses the first record of all spectra but the
     first; kept for results that were made so.
     """
@@ -37,7 +42,8 @@ def spectra(df: DataFrame, time_res: float = 0, merge: str = "sum", by: list[str
 
         w = Window.partitionBy(*by).orderBy(order)
         marked = marked.withColumn("__new", (F.col("anchor") != F.lag("anchor").over(w)) & F.lag("anchor").over(w).isNotNull()).filter("not coalesce(__new, false)")
-    merged = marked.groupBy(*by, F.col("anchor").alias("time"), F.col(axis).alias("__y")).agg(MERGE[merge]("intensity").alias("__v"))
+    fold = merge if callable(merge) else MERGE[merge]
+    merged = marked.groupBy(*by, F.col("anchor").alias("time"), F.col(axis).alias("__y")).agg(fold(F.col("intensity")).alias("__v"))
     entries = F.array_sort(F.collect_list(F.struct("__y", "__v")))
     return merged.groupBy(*by, "time").agg(F.map_from_entries(entries).alias("spectrum"))
 

@@ -254,6 +254,19 @@ def delim_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer.delimiter_stats(lines).select("place", "delimiter", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"))
 
 
+@query("SELECT delimiter, CAST(n AS BIGINT) AS n FROM (VALUES ('|', 4), (';', 4), (',', 4)) AS v(delimiter, n)")
+def dialect_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables joined by different delimiters: what is found, and of how many columns."""
+    found = []
+    for name, d in (("nation", "|"), ("supplier", ";"), ("customer", ",")):
+        df = table(spark, sf_dir, name)
+        columns = [F.col(c).cast("string") for c in df.columns[:4]] + [F.lit("x")] * max(0, 4 - len(df.columns))
+        lines = df.select(F.concat_ws(d, *columns).alias("value"))
+        picked = infer.pick_delimiter(infer.delimiter_stats(lines))
+        found.append(lines.agg(F.lit(picked).alias("delimiter"), F.max(F.size(F.split("value", "[" + picked + "]"))).cast("long").alias("n")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("SELECT p_partkey || chr(9) || p_name || chr(9) || p_brand || chr(9) || p_type || chr(9) || p_size || chr(9) || regexp_replace(CAST(p_retailprice AS VARCHAR), '\\.0$', '') AS line FROM part")
 def tsv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink.lines(table(spark, sf_dir, "part"))
@@ -287,7 +300,6 @@ def kde_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(analytics.kernel_density(table(spark, sf_dir, "lineitem"), "l_quantity", 0.0, 50.0), "tick", "density")
 
 
-_SPECTRUM = "list_sort(list(y || ':' || v))"
 
 
 @query("SELECT user_id, t AS time, list_sort(list(y || ':' || v))::VARCHAR AS spectrum FROM (SELECT user_id, epoch_us(date_trunc('day', ts)) // 1000000 AS t, event_type AS y, count(*) AS v FROM events GROUP BY ALL) GROUP BY user_id, t".replace("list_sort(list(y || ':' || v))::VARCHAR", "array_to_string(list_sort(list(y || ':' || v)), ',')"))
@@ -310,6 +322,15 @@ def spectra_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy("user_id", F.col("anchor").alias("time")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT user_id, max(n) AS widest FROM (SELECT user_id, epoch_us(date_trunc('day', ts)) // 1000000 AS t, count(DISTINCT event_type) AS n FROM events GROUP BY ALL) GROUP BY user_id")
+def spectra_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With an aggregate of the caller's own as the merge."""
+    e = table(spark, sf_dir, "events")
+    day = F.unix_seconds(F.date_trunc("day", F.col("ts").cast("timestamp")))
+    s = analytics.spectra(e.select("user_id", day.alias("time"), "event_type", F.lit(1).alias("intensity")), merge=lambda c: F.sum(c * 2), by=["user_id"], axis="event_type")
+    return s.groupBy("user_id").agg(F.max(F.size("spectrum")).cast("long").alias("widest"))
+
+
 # -- instruments: a file for each supplier, a scan or a point for each of its lines ------
 
 _OF = "SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS i FROM (SELECT l_suppkey, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_quantity FROM lineitem)"
