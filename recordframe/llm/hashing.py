@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 U = np.uint64
@@ -32,8 +34,27 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+BLOCK = 1 << 20  #: bytes that are worked on at a time, at 40 bytes of memory each
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
 def word_hashes(text: bytes) -> np.ndarray:
-    """A value for each word, in order; words are runs of bytes other than space and 0x09-0x0D."""
+    """A value for each word, in order; words are runs of bytes other than space and 0x09-0x0D.
+
+    A word's value does not depend on its place, so long texts are cut between words.
+    """
+    if len(text) <= BLOCK:
+        return _hashes(text)
+    parts, at = [], 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + BLOCK)
+        end = cut.start() if cut else len(text)
+        parts.append(_hashes(text[at:end]))
+        at = end
+    return np.concatenate(parts)
+
+
+def _hashes(text: bytes) -> np.ndarray:
     b = np.frombuffer(text, np.uint8)
     edges = np.flatnonzero(np.diff(np.concatenate(([False], ~_IS_SPACE[b], [False]))))
     if not len(edges):

@@ -355,7 +355,7 @@ def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id names their component; of rows with that id and an equal set, one."""
+    """The documents whose id names their component.  Ids are taken to be unique: of rows with one id, one stays."""
     found = groups(documents, id_col, text_col)
     kept = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     rows = documents.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
