@@ -500,6 +500,33 @@ def test_training_helps_on_held_out_texts(subwords, docs):
     assert model.score(ids).sum() > unigram + 0.01 * abs(unigram)
 
 
+def test_all_texts_are_counted_and_trained_on(spark, subwords, monkeypatch):
+    """More texts than a bounded sample would hold, dealt to several groups."""
+    import public_tokenizers
+
+    monkeypatch.setattr(lm_scoring, "GROUP", 100)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["tree", "stone", "river", f"n{i}"]) for _ in range(12)) for i in range(1_500)]
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        model = lm_scoring.train_all(spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "doc_id long, text binary"), f.read(), public_tokenizers.PATTERN)
+    ids = [subwords.ids(t.encode()) for t in texts]
+    plain = lm_scoring.Attention(subwords.size, np.bincount(np.concatenate(ids), minlength=subwords.size).astype(float))
+    assert (model.cls == plain.cls).all() and np.allclose(model.within, plain.within)
+    assert model.score(ids).sum() > plain.score(ids).sum() + 100
+
+
+def test_pieces_own_each_token_once(subwords):
+    m = lm_scoring.Attention(subwords.size, np.ones(subwords.size), 0)
+    for n in (1, 31, 32, 33, 56, 57, 24 * 256 + 7, 24 * 256 + 8, 24 * 256 + 9, 20_000):
+        ids = np.random.default_rng(n).integers(0, subwords.size, n).astype(np.int32)
+        cut = list(lm_scoring.cut(ids, subwords.size))
+        assert np.concatenate([x[1 : 1 + own] for _, _, own, x in cut]).tolist() == ids.tolist()
+        rows, target, real = m.examples([x for *_, x in cut])
+        want, starts, _ = m.windows([ids])
+        assert len(starts) == sum(k for _, k, _, _ in cut) and (rows == want).all()
+        assert all((t[r] == m.cls[ids[a : a + 32]]).all() for t, r, a in zip(target, real, starts))
+
+
 def test_long_runs(subwords):
     for t in (b"x" * 50_000, b" " * 50_000 + b"y", "é".encode() * 9_000):
         assert subwords.encoding.decode(subwords.ids(t)[:-1].tolist()).encode() == t
