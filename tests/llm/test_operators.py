@@ -515,6 +515,25 @@ def test_all_texts_are_counted_and_trained_on(spark, subwords, monkeypatch):
     assert model.score(ids).sum() > plain.score(ids).sum() + 100
 
 
+def test_one_long_text_does_not_end_training(spark, subwords, tmp_path):
+    """A text of over 6 MB among short ones; the scores are those of a trained model."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = ["responsibility " * 420_000, *("a tree by the river " * 10 for _ in range(60))]
+    rows = lm_scoring.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, public_tokenizers.PATTERN).collect()
+    untrained = lm_scoring.Attention(subwords.size, np.zeros(subwords.size)).score([subwords.ids(texts[1].encode())])[0]
+    assert all(r.score > 0.8 * untrained for r in rows if r.doc_id)
+
+
+def test_nothing_gathered_is_an_error(spark, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(lm_scoring, "materialize", lambda df: df.filter("false"))
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f, pytest.raises(RuntimeError):
+        lm_scoring.train_all(spark.createDataFrame([(1, b"some text")], "doc_id long, text binary"), f.read(), public_tokenizers.PATTERN)
+
+
 def test_pieces_own_each_token_once(subwords):
     m = lm_scoring.Attention(subwords.size, np.ones(subwords.size), 0)
     for n in (1, 31, 32, 33, 56, 57, 24 * 256 + 7, 24 * 256 + 8, 24 * 256 + 9, 20_000):
