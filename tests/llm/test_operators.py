@@ -551,6 +551,18 @@ def test_long_runs(subwords):
         assert subwords.encoding.decode(subwords.ids(t)[:-1].tolist()).encode() == t
 
 
+def test_a_long_run_leaves_the_rest_as_it_is(subwords):
+    prose = "The quick brown fox, they say, jumps over 12 lazy dogs.\n" * 50
+    plain = subwords.encoding.encode_ordinary
+    for run in ("Zm9vYmFy" * 2_000, "漢字" * 5_000, " " * 9_000, "\n \u2003\x85" * 3_000, "=" * 9_000, "\x1c" * 9_000):
+        for text in (prose + run, prose + run + "\n" + prose, run + prose, run):
+            assert subwords.ids(text.encode())[:-1].tolist() == plain(text)
+    few = plain(prose)[:-1]
+    assert subwords.ids((prose + "x" * 9_000).encode())[: len(few)].tolist() == few
+    blank = " " * 3_000_000  # more than the pattern's engine holds
+    assert subwords.encoding.decode(subwords.ids(blank.encode() + b"x")[:-1].tolist()) == blank + "x"
+
+
 def test_sql_of_secrets(spark, docs, tmp_path):
     """The SQL and the operator agree, also where weak candidates link."""
     import duckdb
