@@ -336,6 +336,24 @@ def test_mixture(spark, docs):
     assert abs(expected - 0.8) < 1e-3
 
 
+@pytest.mark.parametrize("cells", [50_000, 10])
+def test_every_source_has_its_weight(spark, monkeypatch, cells):
+    """Sixty sources, raked on the driver and as a table; a target of the caller's own for one of the rarest."""
+    monkeypatch.setattr(mixing, "CELLS", cells)
+    df = spark.createDataFrame([(i, f"s{i % 60}" if i < 300 or i % 60 < 5 else "s0", "en" if i // 60 % 2 else None, "word " * 30) for i in range(1_200)], "doc_id long, source string, lang string, text string")
+    given = lambda seen: {k: 5.0 if k == "s59" else 1.0 for k in seen}
+    for target in (given, mixing.Tempered(0.7)):
+        p = mixing.plan(df, targets=(target, mixing.Tempered(1.0), mixing.Tempered(1.0)))
+        seen, have = Counter(), Counter()
+        for r in mixing.assign(df, p).collect():
+            seen[r.source] += r.n_tokens
+            have[r.source] += r.n_tokens * r.probability
+        want = target(seen)
+        assert len(have) == 60
+        for k, v in want.items():
+            assert math.isclose(have[k], 0.8 * sum(seen.values()) * v / sum(want.values()), rel_tol=1e-3)
+
+
 # -- 7 URL filters -------------------------------------------------------------
 
 
