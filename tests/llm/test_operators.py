@@ -354,6 +354,17 @@ def test_every_source_has_its_weight(spark, monkeypatch, cells):
             assert math.isclose(have[k], 0.8 * sum(seen.values()) * v / sum(want.values()), rel_tol=1e-3)
 
 
+def test_kept_documents_have_the_target_weights(spark):
+    """One language in forty, wanted as a third: its documents are repeated."""
+    df = spark.createDataFrame([(i, "s", "es" if i % 40 == 0 else "en", f"word{i} " * 30, i) for i in range(4_000)], "doc_id long, source string, lang string, text string, copies int")
+    p = mixing.plan(df, targets=(mixing.Tempered(0.7), lambda seen: {"es": 1.0, "en": 2.0}, mixing.Tempered(1.0)))
+    kept = mixing.sample(df, p)
+    rows = kept.select("doc_id", "lang").collect()
+    assert kept.schema == df.schema and abs(len(rows) / 4_000 - 0.8) < 0.02
+    assert abs(sum(r.lang == "es" for r in rows) / len(rows) - 1 / 3) < 0.02
+    assert Counter(r.doc_id for r in rows) == {r.doc_id: r.copies for r in mixing.assign(df, p).collect() if r.copies}
+
+
 # -- 7 URL filters -------------------------------------------------------------
 
 
