@@ -1,15 +1,17 @@
 """URL filters by association rules.
 
 The list of rules (host and path, the longest fitting one wins) decides some
-pages outright.  Those verdicts are the labels: FP-growth mines which
+pages outright.  Those verdicts are the labels: frequent-set mining tells which
 combinations of URL tokens go with "block", over all labelled pages.  Mined
 rules below the support or the confidence are pruned, and so are rules that a
 shorter one with as much confidence covers.  An inverted index, each rule
 under its rarest token, finds the rules for the pages that the list leaves open.
 
-A URL has at most six tokens by definition (first host label, domain, top
-domain, first path segment, extension, first query key), so there are at most
-``63 / min_support`` frequent combinations: that bounds what is broadcast.
+Tokens are all labels of the host, all segments of the path, all keys of the
+query and the extension.  Sets are mined level by level without a limit of
+length.  A set that some smaller one already is in count, or within one that is
+always blocked, adds no rule that would stay, so it is not extended: what is
+held are the sets that tell pages apart, each in ``min_support`` of the blocked.
 There is no shuffle by host.
 
 Defined results: a null URL, or one without ``://``, has an empty host and
@@ -20,14 +22,16 @@ an empty table stays empty; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.fpm import FPGrowth
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordframe.llm.common import table
+from recordframe.llm.common import materialize, table
 
 #: Verdict, host and path of the listed rules.
 LISTED = (
@@ -59,38 +63,87 @@ def listed_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
 
 
 def tokens(host: Column, path: Column, query: Column) -> Column:
-    """The distinct tokens of a URL, six at most."""
-    labels, segments = F.split(host, r"\."), F.split(path, "/")
+    """The distinct tokens of a URL: all labels of the host, segments of the path and keys of the query, and the extension."""
+    labels = F.split(host, r"\.")
     n = F.size(labels)
+    named = lambda kind, values: F.transform(F.filter(values, lambda x: x != ""), lambda x: F.concat(F.lit(f"{kind}="), x))
+    keys = F.transform(F.split(F.regexp_replace(query, r"^\?", ""), "&"), lambda x: F.element_at(F.split(x, "=", 2), 1))
     some = [
-        F.when((host != "") & (n > 2), F.concat(F.lit("first="), F.element_at(labels, 1))),
-        F.when((host != "") & (n > 1), F.concat(F.lit("domain="), F.get(labels, n - 2))),
+        F.when(n > 1, F.concat(F.lit("domain="), F.get(labels, n - 2))),
         F.when(host != "", F.concat(F.lit("top="), F.element_at(labels, -1))),
-        F.when(F.size(segments) > 2, F.concat(F.lit("path="), F.get(segments, F.lit(1)))),
         F.when(path.rlike(r"\.[A-Za-z0-9]+$"), F.concat(F.lit("ext="), F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))),
-        F.when(query != "", F.concat(F.lit("query="), F.regexp_extract(query, r"^\?([^=&]*)", 1))),
     ]
-    return F.array_compact(F.array_distinct(F.array(*some)))
+    rest = named("host", F.slice(labels, F.lit(1), F.greatest(n - 2, F.lit(0)))), named("path", F.split(path, "/")), named("query", keys)
+    return F.array_distinct(F.concat(F.array_compact(F.array(*some)), *rest))
+
+
+def _counter(found: list[tuple]):
+    """How many pages of a task have each candidate (a sorted tuple), and how many of them are blocked."""
+    tree: dict = {}
+    for k, s in enumerate(found):
+        at = tree
+        for x in s:
+            at = at.setdefault(x, {})
+        at[None] = k
+    single = {x for s in found for x in s}
+
+    def walk(at: dict, items: list, start: int, out: list) -> None:
+        if None in at:
+            out.append(at[None])
+        for i in range(start, len(items)):
+            below = at.get(items[i])
+            if below is not None:
+                walk(below, items, i + 1, out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, blocked = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+        for b in batches:
+            for items, verdict in zip(b.column("tokens").to_pylist(), b.column("verdict").to_pylist()):
+                out: list[int] = []
+                walk(tree, sorted(single.intersection(items)), 0, out)
+                seen[out] += 1
+                if verdict == "block":
+                    blocked[out] += 1
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some]), pa.array(blocked[some])], names=["k", "seen", "blocked"])
+
+    return run
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[frozenset, float, int]]:
     """(tokens, confidence, frequency) of the rules for "block"; labelled has ``tokens`` and ``verdict``."""
-    items = labelled.select(F.array_append("tokens", F.concat(F.lit("verdict="), F.col("verdict"))).alias("items"))
-    if items.isEmpty():
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    sets = model.freqItemsets.withColumn("blocked", F.array_contains("items", "verdict=block")).withColumn("tokens", F.array_sort(F.array_except("items", F.array(F.lit("verdict=block"), F.lit("verdict=allow")))))
-    sets = sets.filter(F.size("tokens") > 0)
-    whole = sets.filter(F.size("tokens") == F.size("items")).select("tokens", F.col("freq").alias("seen"))
-    hits = sets.filter("blocked").select("tokens", "freq").join(whole, "tokens").filter(F.col("freq") >= F.col("seen") * min_confidence)
-    rules = [(frozenset(r.tokens), r.freq / r.seen, r.seen) for r in hits.collect()]  # at most 63 / min_support
-    rules.sort(key=lambda r: (len(r[0]), sorted(r[0])))
-    by_set: dict[frozenset, float] = {}
+    labelled = materialize(labelled.select("tokens", "verdict"))
+    least = max(1, math.ceil(labelled.count() * min_support - 1e-9))
+    one = labelled.select(F.explode(F.array_distinct("tokens")).alias("x"), (F.col("verdict") == "block").cast("long").alias("b"))
+    singles = one.groupBy("x").agg(F.count("*").alias("seen"), F.sum("b").alias("blocked")).filter(F.col("blocked") >= least).collect()
+    level = {(r.x,): (r.seen, r.blocked) for r in singles}
+    best: dict[tuple, float] = {(): 0.0}
     kept = []
-    for s, confidence, seen in rules:
-        if not any(by_set.get(s - {x}, 0) >= confidence for x in s):
-            kept.append((s, confidence, seen))
-        by_set[s] = max([confidence, *(by_set.get(s - {x}, 0) for x in s)])
+    while level:
+        grow = set()
+        for s, (seen, blocked) in sorted(level.items()):
+            confidence = blocked / seen
+            below = max(best[s[:i] + s[i + 1 :]] for i in range(len(s)))
+            if blocked >= seen * min_confidence:
+                if below < confidence:
+                    kept.append((frozenset(s), confidence, seen))
+                below = max(below, confidence)
+            best[s] = below
+            if confidence < 1:
+                grow.add(s)
+        by_start: dict[tuple, list] = {}
+        for s in sorted(grow):
+            by_start.setdefault(s[:-1], []).append(s[-1])
+        found = [(*a, x, y) for a, ends in by_start.items() for i, x in enumerate(ends) for y in ends[i + 1 :]]
+        found = [s for s in found if all(s[:i] + s[i + 1 :] in grow for i in range(len(s) - 2))]
+        if not found:
+            break
+        counted = labelled.mapInArrow(_counter(found), "k long, seen long, blocked long").groupBy("k").agg(F.sum("seen").alias("seen"), F.sum("blocked").alias("blocked")).filter(F.col("blocked") >= least)
+        before, level = level, {}
+        for r in counted.collect():
+            s = found[r.k]
+            if all(before[s[:i] + s[i + 1 :]][0] > r.seen for i in range(len(s))):
+                level[s] = (r.seen, r.blocked)
     return kept
 
 

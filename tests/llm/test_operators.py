@@ -375,6 +375,18 @@ def test_url_rules(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict)
 
 
+def test_all_of_a_url_is_mined(spark):
+    """What tells the blocked pages apart is a middle label, a later segment or a later key."""
+    urls = [(f"http://w.{'bad' if i % 2 else 'fine'}.site.com/a/b{i}", i % 2) for i in range(40)]
+    urls += [(f"http://w{i}.site.net/a/{'bad' if i % 2 else 'fine'}/x", i % 2) for i in range(40)]
+    urls += [(f"http://w{i}.site.info/a?x=1&{'worse' if i % 2 else 'fine'}=2", i % 2) for i in range(40)]
+    long = "/".join(f"s{i}" for i in range(60))  # 2 ** 60 sets, all alike
+    rows = [(u, "block" if b else "allow") for u, b in urls] + [(f"http://h/{long}", "block"), (f"http://h/{long}", "allow")] * 20
+    df = spark.createDataFrame(rows, "url string, verdict string")
+    rules = {s for s, _, _ in url_filters.mine(df.select(url_filters.tokens(*url_filters.parts(F.col("url"))).alias("tokens"), "verdict"), 0.05)}
+    assert {frozenset({"host=bad"}), frozenset({"path=bad"}), frozenset({"query=worse"})} <= rules
+
+
 def test_mined_rules(spark):
     """Against counting every subset."""
     rng = random.Random(5)
