@@ -36,6 +36,7 @@ shingles are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -355,11 +356,21 @@ def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id names their component.  Ids are taken to be unique: of rows with one id, one stays."""
-    found = groups(documents, id_col, text_col)
-    kept = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = documents.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    return rows.dropDuplicates([id_col])
+    """One document of each component: the smallest id, none as the last, then by a hash of id and text.
+
+    Rows go by that hash, so rows with one id or none but texts that are not
+    linked all stay, and so does every text without a word.
+    """
+    own = uuid.uuid4().hex
+    key, one, copy = f"{own}_key", f"{own}_one", f"{own}_copy"
+    doc = F.col(f"`{id_col}`").cast("long")
+    keyed = documents.withColumn(key, F.xxhash64(doc.isNull(), doc, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    found = materialize(groups(keyed, key, text_col).select(F.col("doc_id").alias("key"), F.col("component_id").alias("component"), F.col("class").isNull().alias("empty")).distinct())
+    ids = keyed.select(F.col(key).alias("key"), doc.alias("id")).distinct()
+    first = found.filter("not empty").join(ids, "key").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    kept = first.select(F.col("first.key").alias(key), F.lit(True).alias(one)).unionByName(found.filter("empty").select(F.col("key").alias(key), F.lit(False).alias(one)))
+    rows = keyed.join(kept, key).withColumn(copy, F.when(F.col(one), 0).otherwise(F.monotonically_increasing_id()))
+    return rows.dropDuplicates([key, copy]).select(*(F.col(f"`{c}`") for c in documents.columns))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

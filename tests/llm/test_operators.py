@@ -272,6 +272,15 @@ def test_one_of_each_group(spark):
     assert sorted((r.doc_id, r.key) for r in jaccard_join.keep_one(df).collect()) == [(1, "x"), (3, "z"), (4, "n")]
 
 
+def test_rows_without_an_id_of_their_own(spark):
+    """Null and repeated ids with texts that are not linked all stay; linked ones do not."""
+    texts = [(None, "one two three four five six"), (None, "quite other words than before these"), (None, "one two three four five six"), (7, "a text of its own here"), (7, "nothing like the one above it"), (7, ""), (7, None), (None, " "), (9, "a text of its own here")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = jaccard_join.keep_one(df)
+    want = Counter(texts) - Counter([texts[2], texts[8]])
+    assert kept.schema == df.schema and Counter(map(tuple, kept.collect())) == want
+
+
 def test_graph_components(spark):
     chain = [(i, i + 1) for i in range(20)] + [(100, 101), (105, 101)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
