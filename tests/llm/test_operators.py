@@ -503,7 +503,6 @@ def subwords():
 def test_gradients():
     m = lm_scoring.Attention(3000, np.arange(3000.0)[::-1].copy(), 1)
     m.w = {k: v.astype(np.float64) for k, v in m.w.items()}
-    m.mask = m.mask.astype(np.float64)
     rng = np.random.default_rng(0)
     rows, target = rng.integers(0, 1024, (3, 32)), rng.integers(0, 64, (3, 32))
     real = np.ones((3, 32), bool)
@@ -530,14 +529,14 @@ def test_windows_score_each_token_once(subwords):
             start = 0 if i < 32 else ((i - 8) // 24) * 24
             inputs = [m.row[subwords.size] if start + k == 0 else m.row[ids[start + k - 1]] for k in range(i - start + 1)]
             rows = np.array([inputs + [1024] * (32 - len(inputs))])
-            logp, _ = m.forward(rows, 0)
+            logp = m.log_probabilities(rows, 0)
             total += float(logp[0, i - start, m.cls[ids[i]]]) + float(m.within[ids[i]])
         assert math.isclose(m.score([ids])[0], total / math.log(10), rel_tol=1e-4)
 
 
 def test_probabilities_sum_to_one(subwords):
     m = lm_scoring.train(subwords, [b"the cat sat on the mat " * 20])
-    logp, _ = m.forward(np.array([[1023] + [0] * 31]), 0)
+    logp = m.log_probabilities(np.array([[1023] + [0] * 31]), 0)
     assert abs(np.exp(logp[0, 0][m.cls] + m.within).sum() - 1) < 1e-3
 
 
@@ -558,7 +557,8 @@ def test_all_texts_are_counted_and_trained_on(spark, subwords, monkeypatch):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["tree", "stone", "river", f"n{i}"]) for _ in range(12)) for i in range(1_500)]
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        model = lm_scoring.train_all(spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "doc_id long, text binary"), f.read(), public_tokenizers.PATTERN)
+        prepared = lm_scoring.prepare(spark.createDataFrame([(i, False, t.encode()) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text binary"), f.read(), public_tokenizers.PATTERN)
+    model = lm_scoring.train_all(prepared, subwords.size)
     ids = [subwords.ids(t.encode()) for t in texts]
     plain = lm_scoring.Attention(subwords.size, np.bincount(np.concatenate(ids), minlength=subwords.size).astype(float))
     assert (model.cls == plain.cls).all() and np.allclose(model.within, plain.within)
@@ -576,12 +576,9 @@ def test_one_long_text_does_not_end_training(spark, subwords, tmp_path):
     assert all(r.score > 0.8 * untrained for r in rows if r.doc_id)
 
 
-def test_nothing_gathered_is_an_error(spark, monkeypatch):
-    import public_tokenizers
-
-    monkeypatch.setattr(lm_scoring, "materialize", lambda df: df.filter("false"))
-    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f, pytest.raises(RuntimeError):
-        lm_scoring.train_all(spark.createDataFrame([(1, b"some text")], "doc_id long, text binary"), f.read(), public_tokenizers.PATTERN)
+def test_nothing_gathered_is_an_error(spark):
+    with pytest.raises(RuntimeError):
+        lm_scoring.train_all(spark.createDataFrame([(0, 0, 1, False)], lm_scoring.PREPARED.split(", piece")[0]).selectExpr("*", "0 AS piece", "0 AS windows", "0 AS own", "CAST(NULL AS BINARY) AS ids"), 5_000)
 
 
 def test_pieces_own_each_token_once(subwords):
@@ -590,10 +587,40 @@ def test_pieces_own_each_token_once(subwords):
         ids = np.random.default_rng(n).integers(0, subwords.size, n).astype(np.int32)
         cut = list(lm_scoring.cut(ids, subwords.size))
         assert np.concatenate([x[1 : 1 + own] for _, _, own, x in cut]).tolist() == ids.tolist()
+        before = np.concatenate(([subwords.size], ids))
         rows, target, real = m.examples([x for *_, x in cut])
-        want, starts, _ = m.windows([ids])
-        assert len(starts) == sum(k for _, k, _, _ in cut) and (rows == want).all()
-        assert all((t[r] == m.cls[ids[a : a + 32]]).all() for t, r, a in zip(target, real, starts))
+        assert len(rows) == sum(k for _, k, _, _ in cut) == 1 + max(0, -(-(n - 32) // 24))
+        for i, (r, t, ok) in enumerate(zip(rows, target, real)):
+            assert (r[ok] == m.row[before[24 * i : 24 * i + 32][: ok.sum()]]).all() and (t[ok] == m.cls[ids[24 * i : 24 * i + 32]]).all() and (r[~ok] == 1024).all()
+        _, target, real = m.examples(list(lm_scoring._own(cut)), 32)
+        assert target[real].tolist() == m.cls[ids].tolist()  # trained on once
+
+
+def test_pieces_and_blocks(spark, subwords, monkeypatch):
+    """Scores and counts do not depend on where chunks, pieces and blocks of words end."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    df = spark.createDataFrame([(i % 9, " ".join(f"w{i * j % 23}" for j in range(400))) for i in range(40)], "doc_id long, text string")
+    one = sorted(lm_scoring.score(df, path, public_tokenizers.PATTERN).drop("score").collect())
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 3_000)
+    monkeypatch.setattr(lm_scoring, "BLOCK", 7)
+    monkeypatch.setattr(lm_scoring, "PIECE", 3)
+    many = sorted(lm_scoring.score(df, path, public_tokenizers.PATTERN).drop("score").collect())
+    assert len(one) == len(many) == 40
+    for a, b in zip(one, many):
+        assert a[:5] == b[:5] and math.isclose(a[5], b[5])
+
+
+def test_parameters_are_summed_by_levels(spark, subwords, monkeypatch):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        prepared = lm_scoring.prepare(spark.createDataFrame([(i, False, b"a tree by the river " * 20) for i in range(200)], "doc_id long, held_out boolean, text binary"), f.read(), public_tokenizers.PATTERN)
+    monkeypatch.setattr(lm_scoring, "GROUP", 10)
+    wide = lm_scoring.train_all(prepared, subwords.size)
+    monkeypatch.setattr(lm_scoring, "FAN", 2)
+    assert np.allclose(lm_scoring.train_all(prepared, subwords.size).flat(), wide.flat(), atol=1e-5)
 
 
 def test_long_runs(subwords):
