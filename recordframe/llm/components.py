@@ -8,8 +8,21 @@ from pyspark.sql import functions as F
 from recordframe.llm.common import materialize
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("a").agg(F.min("b").alias("least"))
+HOT, HOTS = 100, 10_000
+
+
+def _with_least(edges: DataFrame, least, n: int) -> DataFrame:
+    """edges (a, b) with ``least`` of b by a, for n edges in all.
+
+    A node with more than max(HOT, n / HOTS) edges has them where they are: of
+    such nodes there are HOTS at most, so what is told of them is broadcast.
+    The others meet their edges by a join.
+    """
+    most = max(HOT, n // HOTS)
+    told = edges.groupBy("a").agg(least.alias("least"), F.count("*").alias("degree"))
+    hot = F.broadcast(told.filter(F.col("degree") > most).drop("degree"))
+    rest = edges.join(hot, "a", "left_anti").join(told.filter(F.col("degree") <= most).drop("degree"), "a")
+    return edges.join(hot, "a").unionByName(rest)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -20,20 +33,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     the logarithm of the longest path.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    state = None
+    state, n = None, now.count()
     for _ in range(most_rounds):
         # Large star: each node sends its larger neighbours to its least one.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
+        large = _with_least(both, F.least(F.min("b"), F.first("a")), 2 * n).filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
         # Small star: each node sends itself and its smaller neighbours to the least of them.
-        own = _least(large)
-        small = large.join(own, "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        now = materialize(small.unionByName(own.select("a", F.col("least").alias("b"))).distinct())
+        own = large.groupBy("a").agg(F.min("b").alias("b"))
+        small = _with_least(large, F.min("b"), n).filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        now = materialize(small.unionByName(own).distinct())
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if seen == state:
             break
-        state = seen
+        state, n = seen, seen.n
     else:
         raise RuntimeError("the components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

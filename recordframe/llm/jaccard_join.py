@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordframe.llm.common import id_and_text, map_rows, materialize, table
+from recordframe.llm.common import id_and_text, map_rows, materialize, table, tidy
 from recordframe.llm.components import components
 from recordframe.llm.hashing import BASE, U, mix, word_hashes
 
@@ -215,14 +215,14 @@ class SignatureTree:
 
 
 def fingerprints(texts: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (null for an empty set) and the signature."""
+    """doc_id, n_shingles, class (null for an empty set), the signature and the row's key."""
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = [shingles(t.as_py()) for t in b.column(1)]
         seals = [signature(s, buckets(2 * len(s))).tobytes() if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.array(seals, pa.binary())], names=["doc_id", "n_shingles", "class", "signature"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.array(seals, pa.binary()), b.column(2)], names=["doc_id", "n_shingles", "class", "signature", "key"])
 
-    return map_rows(texts, run, "doc_id long, n_shingles long, class long, signature binary")
+    return map_rows(texts, run, "doc_id long, n_shingles long, class long, signature binary, key long")
 
 
 def _routed(texts: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def _routed(texts: DataFrame) -> DataFrame:
             for i, t in enumerate(b.column(1)):
                 s = shingles(t.as_py())
                 if len(s) and (d := digest(s)) not in seen:
-                    if len(seen) < 1 << 20:
+                    if len(seen) < 1 << 18:
                         seen.add(d)
                     keys.append(routing_keys(s))
                     classes.append(np.full(len(keys[-1]), d, np.int64))
@@ -243,7 +243,7 @@ def _routed(texts: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes))], names=["key", "class"])
                     keys, classes = [], []
 
-    return texts.mapInArrow(run, "key long, class long")
+    return texts.mapInArrow(tidy(run), "key long, class long")
 
 
 def _by_group(rows: DataFrame, solve) -> DataFrame:
@@ -262,7 +262,7 @@ def _by_group(rows: DataFrame, solve) -> DataFrame:
         def finish() -> None:
             names = tuple(sorted({m[0] for m in group}))
             if len(names) > 1 and hash(names) not in done:  # the same classes often share many keys
-                if len(done) < 1 << 20:
+                if len(done) < 1 << 18:
                     done.add(hash(names))
                 x, y = solve(group)
                 for i, r in zip(x, y):
@@ -286,7 +286,7 @@ def _by_group(rows: DataFrame, solve) -> DataFrame:
             finish()
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def _compatible(group: list[tuple]) -> tuple[list[int], list[int]]:
@@ -301,7 +301,7 @@ def _near(group: list[tuple]) -> tuple[list[int], list[int]]:
     """Members: class, text.  Links near duplicates."""
     sets: dict[int, np.ndarray] = {}
     for d, text in group:
-        if d not in sets and digest(s := shingles(text)) == d:  # another row may have the same id
+        if d not in sets and digest(s := shingles(text)) == d:
             sets[d] = s
     names = sorted(sets)
     if len(names) < 2:
@@ -327,10 +327,9 @@ def _sorted(rows: DataFrame, *columns: str) -> DataFrame:
 def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, class."""
     texts = id_and_text(documents, id_col, text_col)
+    texts = texts.withColumn("key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
     slim = materialize(fingerprints(texts))
-    none = -(1 << 63)
-    named = slim.withColumn("key_id", F.coalesce("doc_id", F.lit(none)))
-    classes = named.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("key_id").alias("holder"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"))
+    classes = slim.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("key").alias("holder"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"))
 
     of = Window.partitionBy("key")
     met = _routed(texts).withColumn("n", F.count("*").over(of)).filter("n > 1")
@@ -341,7 +340,8 @@ def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sized = candidates.withColumnRenamed("node", "class").join(classes, "class")
     blocks = materialize(sized.groupBy("root").agg(F.ceil(F.sum("n") / MEMBERS).cast("int").alias("blocks")))
     held = sized.join(blocks, "root").select("class", "holder", F.col("root").alias("group"), "blocks")
-    named_texts = texts.select(F.coalesce("doc_id", F.lit(none)).alias("holder"), "text")
+    copies = Window.partitionBy("holder").orderBy("holder")
+    named_texts = texts.select(F.col("key").alias("holder"), "text").withColumn("copy", F.row_number().over(copies)).filter("copy = 1").drop("copy")  # one of rows that agree in id and text
     members = _blocked(named_texts.join(held, "holder"), "group", "blocks")
     links = materialize(_by_group(_sorted(members, "group", "class", "text"), _near))
     if blocks.filter("blocks > 1").isEmpty():
