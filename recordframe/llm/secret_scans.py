@@ -12,12 +12,12 @@ Everything is made of SQL functions.  ``split`` gives the text between the
 matches of a pattern and ``regexp_extract_all`` the matches, from whose lengths
 the positions follow.  The interval join is a sweep over the sorted candidates
 of a text and its scope breaks, once forward and once backward, which carries
-the last place of each kind of part; so no pairs are formed, and a text with
-many candidates costs no more than their number.  There is no shuffle.
+the last place of each kind of part; so no pairs are formed.  A text with n
+matches costs n steps, and copies n * sqrt(n) references.  There is no shuffle.
 
 Defined results: a null text counts as empty and has no spans; null ids stay
 null; repeated rows are scanned each; an empty table stays empty; other columns
-are not read by ``scan`` and are kept by ``redact``.  Positions are code points.
+are kept as they are, whatever their names.  Positions are code points.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordframe.llm.common import table
+from recordframe.llm.common import free_name, table
 
 WINDOW = 256  #: code points between two parts of one credential at most
 
@@ -48,18 +48,49 @@ _SPAN = "struct<start:int,stop:int,chars:int>"
 NONE = f"cast(array() as array<{_SPAN}>)"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value made once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _fold(items: Column, carry: dict[str, Column], out: str, step) -> Column:
+    """The array of what step(state, item) gives for the items in turn: (new state, what to add as an array).
+
+    Appending to an array copies it, so the items are taken in about sqrt(n)
+    blocks of that many, each with an array of its own: n * sqrt(n) copied
+    references, where one array would need n * n.
+    """
+    none = F.expr(f"cast(array() as array<{out}>)")
+    names = list(carry)
+
+    def add(s: Column, x: Column) -> Column:
+        return _let(step(s, x), lambda r: F.struct(*(r[n].alias(n) for n in names), F.when(F.size(r["add"]) > 0, F.concat(s["out"], r["add"])).otherwise(s["out"]).alias("out")))
+
+    def blocks(xs: Column, size: Column) -> Column:
+        zero = F.struct(*(v.alias(n) for n, v in carry.items()), F.expr(f"cast(array() as array<array<{out}>>)").alias("out"))
+
+        def block(s: Column, k: Column) -> Column:
+            inner = F.aggregate(F.slice(xs, k * size + 1, size), F.struct(*(s[n].alias(n) for n in names), none.alias("out")), add)
+            return _let(inner, lambda t: F.struct(*(t[n].alias(n) for n in names), F.array_append(s["out"], t["out"]).alias("out")))
+
+        last = F.floor((F.size(xs) - 1) / size).cast("int")
+        return F.aggregate(F.sequence(F.lit(0), last), zero, block, lambda s: F.flatten(s["out"]))
+
+    return _let(items, lambda xs: F.when(F.size(xs) > 0, _let(F.ceil(F.sqrt(F.size(xs))).cast("int"), lambda size: blocks(xs, size))).otherwise(none))
+
+
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """Every leftmost match: its start, its end, and how many characters ``group`` has of it."""
     between, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    steps = F.transform(F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("a"), whole.alias("b"), part.alias("c")), lambda x: F.struct(F.length(x["a"]).alias("a"), F.length(x["b"]).alias("b"), F.length(x["c"]).alias("c")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(NONE).alias("out"))
+    steps = F.transform(F.arrays_zip(between.alias("a"), whole.alias("b"), part.alias("c")), lambda x: F.struct(F.length(x["a"]).alias("a"), F.length(x["b"]).alias("b"), F.length(x["c"]).alias("c")))
 
     def add(s: Column, x: Column) -> Column:
         begin, stop = s["at"] + x["a"], s["at"] + x["a"] + x["b"]
-        return F.struct(stop.alias("at"), F.array_append(s["out"], F.struct(begin.alias("start"), stop.alias("stop"), x["c"].alias("chars"))).alias("out"))
+        return F.struct(stop.alias("at"), F.array(F.struct(begin.alias("start"), stop.alias("stop"), x["c"].alias("chars"))).alias("add"))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, add, lambda s: s["out"])).otherwise(F.expr(NONE))
+    matches = F.filter(steps, lambda x: x["b"].isNotNull())  # after the last match only text is left
+    return F.when(text.rlike(pattern), _fold(matches, {"at": F.lit(0)}, _SPAN, add)).otherwise(F.expr(NONE))
 
 
 #: The kinds in their order, and what part of a credential each is: s secret, i identifier, e endpoint.
@@ -76,7 +107,6 @@ def _events(name: str, kind: str) -> Column:
 def _sweep(events: Column, forward: bool) -> Column:
     """The weak events that have a completing part before them (or after them), as the array of them."""
     event = "struct<start:int,kind:int,stop:int,part:string,weak:boolean>"
-    zero = F.struct(*(F.lit(_FAR).alias(p) for p in "sie"), F.expr(f"cast(array() as array<{event}>)").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         near = lambda p: (x["start"] - s[p] if forward else s[p] - x["stop"]) <= WINDOW
@@ -91,26 +121,43 @@ def _sweep(events: Column, forward: bool) -> Column:
             .alias(p)
             for p in "sie"
         ]
-        return F.struct(*new, F.when(hit, F.array_append(s["out"], x)).otherwise(s["out"]).alias("out"))
+        return F.struct(*new, F.when(hit, F.array(x)).otherwise(F.expr(f"cast(array() as array<{event}>)")).alias("add"))
+
+    return _fold(events if forward else F.reverse(events), {p: F.lit(_FAR) for p in "sie"}, event, step)
+
+
+def _scanned(text: Column) -> tuple[list, list, list]:
+    """Three selections, one after the other, from a table with the column ``text``; others are carried along."""
+    every = [spans(text, p, g).alias(n) for n, p, g in (("assign", ASSIGN, 2), ("identifier", IDENTIFIER, 2), ("weak", WEAK, 2), ("endpoint", ENDPOINT, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("break", BREAK, 0))]
+    long_enough, short = F.filter("assign", lambda x: x["chars"] >= 8), F.filter("assign", lambda x: x["chars"] < 8)
+    enough = {"short": short, "assign": long_enough, "weak": F.filter("weak", lambda x: x["chars"] >= 4)}
+    base = F.array_sort(F.concat(_events("assign", "assign"), _events("access", "access"), _events("hex", "hex")))
+    weak = F.concat(_events("identifier", "identifier"), _events("short", "weak"), _events("weak", "weak"), _events("endpoint", "endpoint"))
+    return every, enough, {"base_spans": base, "candidates": weak}
+
 
-    return F.aggregate(events if forward else F.reverse(events), zero, step, lambda s: s["out"])
+def _found(documents: DataFrame, text_col: str) -> DataFrame:
+    """``row`` with all columns of the documents, ``text``, ``base_spans`` and ``linked_spans``: so no name can clash."""
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns))) if documents.columns else F.struct(F.lit(0))
+    found = documents.select(row.alias("row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    every, enough, told = _scanned(F.col("text"))
+    found = found.select("row", "text", *every).withColumns(enough).withColumns(told)
+    breaks = F.transform("break", lambda x: F.struct(x["start"].alias("start"), F.lit(-1).alias("kind"), x["stop"].alias("stop"), F.lit("b").alias("part"), F.lit(False).alias("weak")))
+    found = found.withColumn("events", F.when(F.size("candidates") > 0, F.array_sort(F.concat("base_spans", "candidates", breaks))).otherwise(F.slice("candidates", 1, 0)))
+    events = F.col("events")
+    either = F.array_sort(F.concat(_sweep(events, True), _sweep(events, False)))
+    linked = _let(either, lambda xs: F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1) != x)))  # array_union compares every pair
+    return found.select("row", "text", "base_spans", F.when(F.size(events) > 1, linked).otherwise(F.slice(events, 1, 0)).alias("linked_spans"))
 
 
 def scan(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with ``base_spans`` and ``linked_spans``: arrays of (start, kind, stop, part, weak), sorted."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    found = documents.select("*", spans(text, ASSIGN, 2).alias("__assign"), spans(text, IDENTIFIER, 2).alias("__identifier"), spans(text, WEAK, 2).alias("__weak"), spans(text, ENDPOINT, 2).alias("__endpoint"), spans(text, ACCESS).alias("__access"), spans(text, HEX).alias("__hex"))
-    long_enough = F.filter("__assign", lambda x: x["chars"] >= 8)
-    short = F.filter("__assign", lambda x: x["chars"] < 8)
-    found = found.withColumns({"__short": short, "__assign": long_enough, "__weak": F.filter("__weak", lambda x: x["chars"] >= 4)})
-    base = F.array_sort(F.concat(_events("__assign", "assign"), _events("__access", "access"), _events("__hex", "hex")))
-    weak = F.concat(_events("__identifier", "identifier"), _events("__short", "weak"), _events("__weak", "weak"), _events("__endpoint", "endpoint"))
-    found = found.withColumns({"base_spans": base, "__candidates": weak})
-    breaks = F.transform(spans(text, BREAK), lambda x: F.struct(x["start"].alias("start"), F.lit(-1).alias("kind"), x["stop"].alias("stop"), F.lit("b").alias("part"), F.lit(False).alias("weak")))
-    found = found.withColumn("__events", F.when(F.size("__candidates") > 0, F.array_sort(F.concat("base_spans", "__candidates", breaks))).otherwise(F.slice("__candidates", 1, 0)))
-    events = F.col("__events")
-    linked = F.array_sort(F.array_union(_sweep(events, True), _sweep(events, False)))
-    return found.withColumn("linked_spans", F.when(F.size(events) > 1, linked).otherwise(F.slice(events, 1, 0))).drop(*(f"__{x}" for x in (*KINDS, "short", "candidates", "events")))
+    """The documents with ``base_spans`` and ``linked_spans``: arrays of (start, kind, stop, part, weak), sorted.
+
+    If documents have columns of these names, the new ones get an underscore more.
+    """
+    names = documents.columns
+    own = [F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(names)]
+    return _found(documents, text_col).select(*own, F.col("base_spans").alias(free_name("base_spans", names)), F.col("linked_spans").alias(free_name("linked_spans", names)))
 
 
 def _told(events: Column) -> Column:
@@ -120,21 +167,40 @@ def _told(events: Column) -> Column:
 
 def redact(documents: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The documents with every reported span replaced; where spans overlap, their union is."""
-    text = F.col(f"`{text_col}`").cast("string")
-    found = scan(documents, text_col)
     cuts = F.array_sort(F.concat("base_spans", "linked_spans"))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = F.array_append(s["out"], F.concat(F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark)))
-        return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), F.when(x["start"] >= s["at"], fresh).otherwise(s["out"]).alias("out"))
-
-    clean = F.aggregate(cuts, zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    zero = {"at": F.lit(0)}
+
+    def join(s: Column, x: Column) -> Column:
+        """Spans that overlap as one."""
+        return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), F.when(x["start"] >= s["at"], F.array(F.struct(s["at"].alias("from"), x["start"].alias("to")))).otherwise(F.expr("cast(array() as array<struct<from:int,to:int>>)")).alias("add"))
+
+    def cut(text: Column, kept: Column) -> Column:
+        """What is kept, each followed by the mark: from a part of the text for each block, as a place in a string is found by counting."""
+        size = F.ceil(F.sqrt(F.size(kept))).cast("int")
+
+        def block(k: Column) -> Column:
+            some = F.slice(kept, k * size + 1, size)
+            return _let(
+                some,
+                lambda xs: _let(
+                    F.struct(F.substring(text, xs[0]["from"] + 1, F.element_at(xs, -1)["to"] - xs[0]["from"]).alias("part"), xs[0]["from"].alias("at")),
+                    lambda p: F.array_join(F.transform(xs, lambda x: F.concat(F.substring(p["part"], x["from"] - p["at"] + 1, x["to"] - x["from"]), F.lit(mark))), ""),
+                ),
+            )
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(kept) - 1) / size).cast("int")), block), "")
+
+    last = F.aggregate(cuts, F.lit(0), lambda s, x: F.greatest(s, x["stop"]))
+    found = _found(documents, text_col).withColumn("kept", _fold(cuts, zero, "struct<from:int,to:int>", join)).withColumn("last", last)
     hit = F.size("base_spans") + F.size("linked_spans") > 0
-    out = found.withColumn(text_col, F.when(hit, clean).otherwise(F.col(f"`{text_col}`")))
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length(F.col(f"`{text_col}`")).cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*(F.col(f"`{c}`") for c in documents.columns))
+    clean = _let(F.col("kept"), lambda kept: F.concat(cut(F.col("text"), kept), F.substring(F.col("text"), F.col("last") + 1, F.length("text"))))
+    found = found.select("row", hit.alias("hit"), F.when(hit, clean).alias("clean"))
+    columns = []
+    for i, c in enumerate(documents.columns):
+        own, kind = F.col("row")[f"c{i}"], documents.schema[i].dataType
+        new = F.col("clean") if c == text_col else F.length("clean").cast(kind) if c == "n_chars" else None
+        columns.append((own if new is None else F.when(F.col("hit"), new).otherwise(own)).alias(c))
+    return found.select(*columns)
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
