@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -20,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='recordframe-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -56,6 +60,27 @@ def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Memory that is free in this process goes back to the system: workers outlive tasks, and stages follow one another."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives memory back when its task ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with fn applied to each batch; fn may yield several smaller ones."""
 
@@ -63,7 +88,15 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
         for b in batches:
             yield from fn(b)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
+
+
+def free_name(name: str, columns: Sequence[str]) -> str:
+    """name, or with as many underscores after it that no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_text: str | None = "") -> DataFrame:
@@ -78,16 +111,15 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
 
 
 def by_least_hash(df: DataFrame, hashed, n: int) -> DataFrame:
-    """The n rows with the least hash.
+    """The n rows with the least hash, and those that tie with the last of them.
 
-    The hashes alone are looked at first, so that no task sends n whole rows to
-    the driver.
+    The hashes alone are looked at first, so that whole rows stay where they are.
     """
     least = df.select(hashed.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    return df.filter(hashed <= F.lit(least).cast("long")).limit(n)
+    return df.filter(hashed <= F.lit(least).cast("long"))
 
 
-def slices(ids: Sequence, texts: Sequence, most: int = 4 << 20) -> Iterator[tuple[list, list]]:
+def slices(ids: Sequence, texts: Sequence, most: int = 1 << 20) -> Iterator[tuple[list, list]]:
     """Runs of rows of about ``most`` bytes of text, so that what is built from them stays small."""
     start = total = 0
     for i, t in enumerate(texts):

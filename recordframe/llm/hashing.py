@@ -34,7 +34,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-BLOCK = 1 << 20  #: bytes that are worked on at a time, at 40 bytes of memory each
+BLOCK = 1 << 17  #: bytes that are worked on at a time, at 40 bytes of memory each
 _SPACE = re.compile(rb"[ \t-\r]")
 
 

@@ -158,7 +158,7 @@ def count_patterns(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for t in b.column(1):
-            text = t.as_py().decode()
+            text = t.as_py().decode("utf-8", "replace")
             seen.update(p for *_, p in candidates(text, base_spans(text)))
         yield pa.RecordBatch.from_arrays([pa.array(list(map(list, seen)), pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
@@ -237,7 +237,7 @@ def find(documents: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
         for t in b.column(1):
-            text = t.as_py().decode()
+            text = t.as_py().decode("utf-8", "replace")
             base = base_spans(text)
             spans = [(s, k, e, True) for s, k, e in base] + [(s, k, e, False) for s, k, e, p in candidates(text, base) if yes(p)]
             rows.append([{"start": s, "kind": k, "stop": e, "base": own} for s, k, e, own in sorted(spans)])

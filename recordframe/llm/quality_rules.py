@@ -149,13 +149,12 @@ def assess(documents: DataFrame, limits: Limits = Limits(), id_col: str = "doc_i
 
 def keep(documents: DataFrame, limits: Limits = Limits(), text_col: str = "text") -> DataFrame:
     """The documents that pass, all their columns as they were."""
-    at = documents.columns.index(text_col)
 
-    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = b.column(at).cast(pa.large_binary() if pa.types.is_large_string(b.column(at).type) else pa.binary())
-        yield b.filter(pa.array([measure(t.as_py() or b"", limits)[6] for t in texts], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def passes(texts: pa.Array) -> pa.Array:
+        return pa.array([measure(t.as_py() or b"", limits)[6] for t in texts], pa.bool_())
 
-    return map_rows(documents, run, documents.schema)
+    return documents.filter(passes(F.col(f"`{text_col}`").cast("string").cast("binary")))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,7 +219,7 @@ class Model:
                 del out[-len(space) :]
                 at = align[len(out)]
                 del align[len(out) :]
-        return out.decode(), np.array([*align, at], np.int64)
+        return out.decode("utf-8", "replace"), np.array([*align, at], np.int64)
 
     # -- merging -----------------------------------------------------------
 
@@ -314,7 +314,7 @@ class Model:
         cut, aligned = [], []
         for text in texts:
             if straight and _META not in text:
-                whole, align = META + text.decode().replace(" ", META) if text else "", None
+                whole, align = META + text.decode("utf-8", "replace").replace(" ", META) if text else "", None
             else:
                 whole, align = self.normalize(text)
             cut.append(self.cut.findall(whole))

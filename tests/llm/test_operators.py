@@ -104,6 +104,33 @@ def test_redaction(spark):
     assert [tuple(r) for r in secret_scans.redact(df).orderBy("doc_id").collect()] == [(1, "a [SECRET] b", 12), (2, "clean", 5), (3, None, None)]
 
 
+def test_clashing_columns_are_kept(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh1", "mine", "too", 3), (2, "clean", "b", None, 4)], "doc_id long, text string, base_spans string, `__hex` string, row int")
+    clean = secret_scans.redact(df)
+    assert clean.schema == df.schema and sorted(map(tuple, clean.collect())) == [(1, "[SECRET]", "mine", "too", 3), (2, "clean", "b", None, 4)]
+    found = secret_scans.scan(df)
+    assert found.columns == [*df.columns, "base_spans_", "linked_spans"]
+    twins = spark.createDataFrame([(1, "a b c d e f", "x", 7)], "doc_id long, text string, `__kept` string, class int")
+    assert jaccard_join.keep_one(twins).collect() == twins.collect() and mixing.sample(twins.selectExpr("*", "'s' source", "'l' lang"), mixing.plan(twins.selectExpr("*", "'s' source", "'l' lang"))).columns == [*twins.columns, "source", "lang"]
+    long = df.limit(1).withColumn("text", F.lit("good " * 60))
+    assert quality_rules.keep(df).schema == df.schema and quality_rules.keep(long).collect() == []
+
+
+def test_many_matches_in_one_text(spark):
+    """Folding them one by one into one array would take many minutes."""
+    import time
+
+    n = 30_000
+    texts = [" ".join(f"{i:032x}" for i in range(n)), "user = bob pwd: hunter2 " * n]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    rows = {r.doc_id: r for r in secret_scans.scan(df).collect()}
+    assert [(x.start, x.stop) for x in rows[0].base_spans] == [(33 * i, 33 * i + 32) for i in range(n)]
+    assert len(rows[1].linked_spans) == 2 * n
+    assert {r.doc_id: r.text for r in secret_scans.redact(df).collect()} == {0: " ".join(["[SECRET]"] * n), 1: "[SECRET] [SECRET] " * n}
+    assert time.time() - began < 240
+
+
 # -- 2 sharding ----------------------------------------------------------------
 
 
@@ -281,6 +308,20 @@ def test_rows_without_an_id_of_their_own(spark):
     assert kept.schema == df.schema and Counter(map(tuple, kept.collect())) == want
 
 
+def test_null_ids_do_not_multiply(spark):
+    """Rows with one id or none meet only their own class; rows that agree in all are one."""
+    df = spark.createDataFrame([(None, f"all of these words are here but {i % 50}") for i in range(300)] + [(5, "one text many times over again")] * 200, "doc_id long, text string")
+    rows = jaccard_join.groups(df).collect()
+    assert len(rows) == 500 and {r.component_id for r in rows} == {None, 5}
+
+
+def test_hot_nodes(spark):
+    """A node with many edges is told apart by a broadcast, the rest by a join."""
+    star = [(i, 0) for i in range(1, 900)] + [(5_000 + i, 5_001 + i) for i in range(30)] + [(899, 5_000)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert len(got) == 931 and set(got.values()) == {0}
+
+
 def test_graph_components(spark):
     chain = [(i, i + 1) for i in range(20)] + [(100, 101), (105, 101)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
