@@ -84,7 +84,8 @@ def flow(data: bytes) -> Decoded:
         n_par = int(keys.get("$PAR", n_par))
         own, bits, ranges = [], [], []
         for p in range(1, n_par + 1):
-            own.append(keys.get(f"$P{p}N", f"P{p}"))
+            name = keys.get(f"$P{p}N", f"P{p}")
+            own.append(name if name not in own else f"{name}_{p}")  # parameters of one name stay apart
             b = keys.get(f"$P{p}B", "0")
             if b == "*":
                 raise RecordFormatError("Delimited ASCII is not supported", base)

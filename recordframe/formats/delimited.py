@@ -73,7 +73,7 @@ def sniff(sample: str) -> Dialect:
     mean = sum(counts) / len(counts) if counts else 0.0
     begin, run = 0, 0
     for i, n in enumerate(counts):
-        if abs(n - mean) <= 1:
+        if abs(n - mean) < 1:
             begin = i if not run else begin
             run += 1
             if run > 5:
@@ -100,7 +100,7 @@ def column_type(mask: int) -> int:
 
 
 def coerce(cells: list[str], kind: int) -> pa.Array:
-    """A column of that type; cells that do not fit are null."""
+    """A column of that type if every cell is of it, else the text as it was."""
     if kind == BOOLEAN:
         return pa.array([c.strip() in TRUE for c in cells], pa.bool_())
     if kind == STRING:
@@ -119,7 +119,8 @@ def coerce(cells: list[str], kind: int) -> pa.Array:
         except ValueError:
             return None
 
-    return pa.array([one(c) for c in cells], pa.int64() if kind == INTEGER else pa.float64())
+    found = [one(c) for c in cells]
+    return pa.array(cells, pa.string()) if None in found else pa.array(found, pa.int64() if kind == INTEGER else pa.float64())
 
 
 def table(data: bytes, delimiter: str | None = None, quote: str | None = None, skip_lines: int | None = None, infer_types: bool = True) -> Decoded:
@@ -138,7 +139,7 @@ def table(data: bytes, delimiter: str | None = None, quote: str | None = None, s
     for i, line in enumerate(lines[1:]):
         cells = split(line, d, q)
         if len(cells) != len(names):
-            raise RecordFormatError("Line had a bad number of records", None, i)
+            raise RecordFormatError(f"A row has {len(cells)} cells and not {len(names)}", None, i)
         rows.append(cells)
     columns = list(zip(*rows)) if rows else [()] * len(names)
     out = {}

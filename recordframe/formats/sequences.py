@@ -33,9 +33,9 @@ def fasta(data: bytes) -> Decoded:
     for i, record in enumerate(records):
         head, newline, rest = record.partition(b"\n")
         if not newline and i + 1 == len(records):  # elsewhere the line's end is that before the next '>'
-            raise RecordFormatError("Record ended in its header", at, i)
+            raise RecordFormatError("The last header line is not ended", at, i)
         if b">" in rest:
-            raise RecordFormatError("Unexpected '>' found", at + record.index(b">", len(head)), i)
+            raise RecordFormatError("A '>' stands within a record", at + record.index(b">", len(head)), i)
         ids.append(head.removesuffix(b"\r"))
         sequences.append(rest.translate(None, b"\r\n"))
         at += len(record) + 2
@@ -48,17 +48,17 @@ def fastq(data: bytes) -> Decoded:
     at = n = 0
     while at < len(data):
         if data[at : at + 1] != b"@":
-            raise RecordFormatError("Valid FASTQ records start with '@'", at, n)
+            raise RecordFormatError("No '@' where a record should begin", at, n)
         line = data.find(b"\n", at)
         plus = data.find(b"+", line + 1) if line >= 0 else -1
         if plus < 0:
-            raise RecordFormatError("Record ended prematurely", at, n)
+            raise RecordFormatError("A record has no line of '+'", at, n)
         if data[plus - 1 : plus] != b"\n":
-            raise RecordFormatError("Unexpected '+' found in sequence", plus, n)
+            raise RecordFormatError("A '+' stands within the sequence", plus, n)
         sequence = data[line + 1 : plus - 1].removesuffix(b"\r")
         second = data.find(b"\n", plus)
         if second < 0 or second + 1 + len(sequence) > len(data):
-            raise RecordFormatError("Record ended prematurely in quality", plus, n)
+            raise RecordFormatError("The quality is shorter than the sequence", plus, n)
         end = second + 1 + len(sequence)
         for column, value in zip(columns, (data[at + 1 : line].removesuffix(b"\r"), sequence, data[second + 1 : end])):
             column.append(value)
@@ -89,7 +89,7 @@ def sam(data: bytes) -> Decoded:
             continue
         f = line.split("\t")
         if len(f) < 11:
-            raise RecordFormatError("Sam record too short", size, len(rows))
+            raise RecordFormatError("An alignment has fewer than eleven fields", size, len(rows))
         some = lambda s: "" if s == "*" else s
         try:
             flag, pos, mapq, pnext, tlen = int(f[1]), int(f[3]), f[4], int(f[7]), int(f[8])
@@ -97,7 +97,7 @@ def sam(data: bytes) -> Decoded:
                 raise ValueError("out of range")
             quality = None if mapq == "255" else int(mapq)
         except ValueError as e:
-            raise RecordFormatError(f"Invalid number: {e}", size, len(rows)) from None
+            raise RecordFormatError(f"A field is no number in its range: {e}", size, len(rows)) from None
         rows.append((f[0], flag, some(f[2]), pos - 1 if pos else None, quality, some(f[5]), some(f[6]), pnext - 1 if pnext else None, tlen, some(f[9]), some(f[10]), "|".join(f[11:])))
     return _alignments(rows)
 

@@ -70,11 +70,17 @@ def signal_of(name: Column) -> Column:
 def run_date(text: Column) -> Column:
     """The instruments' date forms, in turn; null where none fits."""
     forms = ("dd-MMM-yy, HH:mm:ss", "dd MMM yy h:mm a", "dd MMM yy h:mm a Z", "MM/dd/yy hh:mm:ss a")
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in forms)).cast("timestamp_ntz")
+    return F.coalesce(*(_century(F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz")) for f in forms))
+
+
+def _century(t: Column) -> Column:
+    """Years of two digits from 70 on are of the last century."""
+    return F.when(F.year(t) >= 2070, t - F.expr("INTERVAL 100 YEARS")).otherwise(t)
 
 
 def cytometry_date(day: Column) -> Column:
-    return F.coalesce(*(F.try_to_timestamp(day, F.lit(f)) for f in ("dd-MMM-yy", "dd-MMM-yyyy", "yyyy-MMM-dd", "dd-MM-yyyy")), F.lit("2000-01-01").cast("timestamp")).cast("timestamp_ntz")
+    found = [F.try_to_timestamp(day, F.lit(f)).cast("timestamp_ntz") for f in ("dd-MMM-yy", "dd-MMM-yyyy", "yyyy-MMM-dd", "dd-MM-yyyy")]
+    return F.coalesce(_century(found[0]), *found[1:], F.lit("2000-01-01").cast("timestamp_ntz"))
 
 
 def iso_date(text: Column) -> Column:
@@ -82,5 +88,6 @@ def iso_date(text: Column) -> Column:
 
 
 def filetime(v: Column) -> Column:
-    """100-nanosecond ticks since 1601 as a timestamp."""
-    return F.timestamp_micros(F.floor(v / 10).cast("long") - 11644473600000000).cast("timestamp_ntz")
+    """100-nanosecond ticks since 1601 as a timestamp, in UTC whatever the session's zone."""
+    seconds = (F.floor(v / 10).cast("decimal(18,0)") / F.lit(1_000_000).cast("decimal(8,0)")).cast("decimal(18,6)")
+    return F.lit("1601-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)

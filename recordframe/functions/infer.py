@@ -29,9 +29,17 @@ def type_name(mask: Column) -> Column:
 
 
 def typed(df: DataFrame) -> DataFrame:
-    """Text columns with the types of all their cells; cells that cannot be cast are null."""
-    masks = type_masks(df).first()
-    names = {c: next((n for bit, n in ((INTEGER, "long"), (FLOAT, "double"), (BOOLEAN, "boolean")) if (masks[c] or 0) & bit), "string") for c in df.columns}
+    """Text columns with the types of all their cells; a column with a cell that cannot be cast stays text."""
+    kinds = ((INTEGER, "long"), (FLOAT, "double"), (BOOLEAN, "boolean"))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    told = [F.array(F.bit_and(cell_mask(c)).cast("long"), *(F.count_if(c.isNotNull() & F.trim(c).try_cast(n).isNull()) for _, n in kinds[:2])).alias(str(i)) for i, c in enumerate(columns)]
+    masks = {c: m or [0, 0, 0] for c, m in zip(df.columns, df.agg(*told).first())} if columns else {}
+
+    def kind(mask: int | None, no_long: int, no_double: int) -> str:
+        found = next((n for bit, n in kinds if (mask or 0) & bit), "string")
+        return "string" if found == "long" and no_long or found == "double" and no_double else found
+
+    names = {c: kind(*masks[c]) for c in df.columns}
 
     def cast(c: str) -> Column:
         col = F.col(f"`{c}`")

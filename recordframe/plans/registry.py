@@ -215,9 +215,60 @@ def permissive_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("_path").alias("path")).agg(F.count("*").alias("n"), F.max("_error.message").alias("message"))
 
 
+@query("SELECT CAST(l_suppkey AS VARCHAR) AS path, CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE count(*) END AS n, l_suppkey % 3 = 0 AS broken FROM lineitem GROUP BY l_suppkey")
+def permissive_bam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that end within a record, or whose tags and operations have codes that are not there, become one row each."""
+
+    def file(r) -> bytes:
+        k, whole = int(r.l_suppkey.iloc[0]), encode.bam(_rows(r), ["chr1", "chr2", "chr3", "chr4"])
+        return whole if k % 3 else whole[: len(whole) * 2 // 3] if k % 2 else whole.replace(b"AS", b"A\xff")[:-7] + b"\xff" * 7
+
+    rows = decode_files(packed(_aligned(spark, sf_dir), "l_suppkey", ["query_name"], file), get_format("bam").schema, "bam", "PERMISSIVE")
+    return rows.groupBy(F.col("_path").alias("path")).agg(F.count(F.when(F.col("_error").isNull(), 1)).alias("n"), (F.count("_error") > 0).alias("broken"))
+
+
+_CELL = "CASE WHEN n_coefficients = 0 THEN n WHEN n_coefficients = 4 THEN 1.5 + 2.5 / n + 3.5 / (n * n) ELSE 1.5 + 2.5 / (n * n) + 3.5 / (n * n * n * n) END"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, chr(CAST(l_partkey % 94 + 33 AS INTEGER)) AS phred, CAST(floor((l_linenumber % 4) * 65535 / 3) AS BIGINT) AS rescaled,
+  CASE WHEN l_partkey <= 1024 THEN l_partkey ELSE l_partkey & 1023 END AS masked, CASE WHEN l_linenumber = 1 THEN 9223372036854775807 ELSE l_orderkey END AS saturated,
+  round({_CELL}, 9) AS mz FROM (SELECT *, CAST(l_quantity AS DOUBLE) AS n, CASE l_linenumber % 3 WHEN 0 THEN 0 WHEN 1 THEN 4 ELSE 7 END AS n_coefficients FROM lineitem)""")
+def scalar_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    line, n = F.col("l_linenumber"), F.col("l_quantity").cast("double")
+    wide = F.when(line == 1, F.lit("18446744073709551615").cast("decimal(20,0)")).otherwise(F.col("l_orderkey").cast("decimal(20,0)"))
+    coefficients = F.element_at(F.array(F.lit(0), F.lit(4), F.lit(7)), (line % 3 + 1).cast("int"))
+    return l.select(
+        "l_orderkey", "l_linenumber", bio.phred(F.col("l_partkey") % 94).alias("phred"), bio.rescale_sample(line % 4, 2).alias("rescaled"), bio.mask_to_range(F.col("l_partkey"), F.lit(1024)).alias("masked"),
+        bio.saturate(wide).alias("saturated"), F.round(bio.frequency_to_mz(n, coefficients, F.lit(1.5), F.lit(2.5), F.lit(3.5)), 9).alias("mz"),
+    )
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS TIMESTAMP) AS run_date, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS day, CAST(l_shipdate AS TIMESTAMP) AS iso, make_timestamp(CAST(l_orderkey AS BIGINT) * 1000000000) AS filetime FROM lineitem""")
+def date_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every form of date that instruments write, in turn by line; years of two digits are of 1970 to 2069."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    at, line = F.col("l_shipdate").cast("timestamp_ntz"), F.col("l_linenumber")
+    form = lambda *forms: F.element_at(F.array(*(F.date_format(at, f) for f in forms)), (line % len(forms) + 1).cast("int"))
+    return l.select(
+        "l_orderkey", "l_linenumber", bio.run_date(form("dd-MMM-yy, HH:mm:ss", "dd MMM yy h:mm a", "MM/dd/yy hh:mm:ss a")).alias("run_date"), bio.cytometry_date(form("dd-MMM-yy", "dd-MMM-yyyy", "yyyy-MMM-dd", "dd-MM-yyyy")).alias("day"),
+        bio.iso_date(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).alias("iso"), bio.filetime(F.col("l_orderkey").cast("long") * 10_000_000_000 + 116_444_736_000_000_000).alias("filetime"),
+    )
+
+
 # -- delimited text ----------------------------------------------------------
 
 
+@query("SELECT l_orderkey, l_linenumber, replace(CAST(CAST(l_quantity AS DOUBLE) AS VARCHAR), '.', ',') AS quantity, CAST(l_partkey AS DOUBLE) + 0.5 AS part FROM lineitem")
+def csv_decimal_comma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimal commas look like numbers and cannot be cast: the column stays text, the others get their types."""
+    path = scratch(spark)
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    l.select("l_orderkey", "l_linenumber", F.translate(F.col("l_quantity").cast("double").cast("string"), ".", ",").alias("quantity"), (F.col("l_partkey") + 0.5).alias("part")).write.options(header=True, sep=";").csv(path)
+    found = infer.typed(spark.read.options(header=True, sep=";").csv(path))
+    return found.withColumn("l_linenumber", F.col("l_linenumber").cast("int"))
+
+
 @query("SELECT * FROM lineitem")
 def csv_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All columns as text through a CSV file; types from every cell, dates (never inferred) cast afterwards."""

@@ -10,6 +10,7 @@ files.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,12 @@ ERROR = T.StructType([T.StructField("message", T.StringType()), T.StructField("b
 
 def decode(data: bytes, parser: str | None = None, header: bytes | None = None, options: dict | None = None) -> tuple[Decoded, str]:
     """The content of a file, one layer of compression taken off, and the parser that read it."""
-    data, _ = codecs.inflate(data)
+    try:
+        data, _ = codecs.inflate(data)
+    except RecordFormatError:
+        raise
+    except Exception as e:  # each codec has errors of its own
+        raise RecordFormatError(f"The file cannot be decompressed: {type(e).__name__}: {e}", 0) from e
     name = detect.parser_name(detect.from_magic(data) if not parser else "", parser)
     found = get_format(name)
     options = dict(options or {})
@@ -37,7 +43,12 @@ def decode(data: bytes, parser: str | None = None, header: bytes | None = None,
         raise ValueError(f"Unused params remain: {', '.join(unused)}")
     if name == "masshunter_dad":
         options["header"] = header
-    return found.decode(data, **options), name
+    try:
+        return found.decode(data, **options), name
+    except RecordFormatError:
+        raise
+    except (ArithmeticError, LookupError, TypeError, ValueError, struct.error) as e:  # what a decoder did not foresee
+        raise RecordFormatError(f"The file is not a whole {name} file: {type(e).__name__}: {e}") from e
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:

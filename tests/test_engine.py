@@ -67,11 +67,11 @@ def test_schema_from_the_head(spark, tmp_path):
 def test_modes(spark, tmp_path):
     (tmp_path / "good").write_bytes(b">a\nAC\n")
     (tmp_path / "wrong").write_bytes(b">b")
-    with pytest.raises(Exception, match="Record ended in its header"):
+    with pytest.raises(Exception, match="header line is not ended"):
         read_records(spark, str(tmp_path), "fasta").collect()
     lenient = read_records(spark, str(tmp_path), "fasta", mode="PERMISSIVE").collect()
     assert sorted((r.id, r._error and r._error.message) for r in lenient if r.id) == [("a", None)]
-    assert [r._error.message for r in lenient if r.id is None] == ["Record ended in its header"]
+    assert [r._error.message for r in lenient if r.id is None] == ["The last header line is not ended"]
     assert read_records(spark, str(tmp_path), "fasta", mode="DROPMALFORMED").count() == 1
 
 
