@@ -411,10 +411,13 @@ def _pairs(r: pd.DataFrame) -> zip:
     return zip(r.l_orderkey.tolist(), r.l_linenumber.tolist(), r.l_partkey.tolist(), r.l_quantity.tolist())
 
 
-@query(f"SELECT round(i * 600 / 60000.0, 6) AS time, (l_linenumber + k)::DOUBLE AS mz, CASE k WHEN 0 THEN l_partkey::DOUBLE ELSE (l_partkey // 8 * 8 * 8)::DOUBLE END AS intensity FROM ({_OF}), (VALUES (0), (1)) AS p(k) WHERE l_partkey < 16384".replace("l_partkey // 8 * 8 * 8", "CASE WHEN l_partkey * 8 < 16384 THEN l_partkey * 8 ELSE l_partkey * 8 END"))
+_PACKED = "CASE WHEN v < 16384 THEN v WHEN v < 131072 THEN v // 8 * 8 WHEN v < 1048576 THEN v // 64 * 64 ELSE v // 512 * 512 END"
+
+
+@query(f"SELECT time, mz, ({_PACKED})::DOUBLE AS intensity FROM (SELECT round(i * 600 / 60000.0, 6) AS time, (l_linenumber + k)::DOUBLE AS mz, l_partkey % 1000000 * CASE k WHEN 0 THEN 1 ELSE 8 END AS v FROM ({_OF}), (VALUES (0), (1)) AS p(k))")
 def chemstation_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of parts above 16383, whose intensity would lose bits, are left out of both sides."""
-    found = unpacked(packed(_supplied(spark, sf_dir), "l_suppkey", _ORDER, lambda r: encode.chemstation_ms([(600 * i, [(20 * n, encode.pack_intensity(p)), (20 * (n + 1), encode.pack_intensity(p * 8))] if p < 16384 else []) for i, (_, n, p, _) in enumerate(_pairs(r))])), "chemstation_ms")
+    """Intensities have fourteen bits and an exponent of eight, so large ones lose their last bits."""
+    found = unpacked(packed(_supplied(spark, sf_dir), "l_suppkey", _ORDER, lambda r: encode.chemstation_ms([(600 * i, [(20 * n, encode.pack_intensity(p % 1_000_000)), (20 * (n + 1), encode.pack_intensity(p % 1_000_000 * 8))]) for i, (_, n, p, _) in enumerate(_pairs(r))])), "chemstation_ms")
     return rounded(found, "time")
 
 
