@@ -10,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir`` (under a folder of our own only where that is unset), deleted at exit."""
+    """A new path under ``spark.checkpoint.dir`` (under a folder of our own where that is unset and all runs on this machine), deleted at exit."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='recordframe-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top}/records-{uuid.uuid4().hex}"
