@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordframe.llm.common import id_and_text, map_rows, table
@@ -252,5 +252,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*(F.lit(k) for k in KINDS))
     base = F.filter("spans", lambda x: x["base"])
     told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["stop"])), ",")
-    n = [F.size(F.filter("spans", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{BASE[k]}") for k in range(len(BASE))]
+
+    def counted(kind: int) -> Column:  # a second parameter of a lambda would be the place in the array
+        return F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{BASE[kind]}")
+
+    n = map(counted, range(len(BASE)))
     return found.select("doc_id", *n, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))

@@ -492,6 +492,21 @@ def test_weak_supervision(spark):
     assert rates[3, 1, 2] > rates[3, 0, 2]  # the context labeler votes for where it is true
 
 
+def test_personal_query(spark, docs):
+    """All columns of the query from a plain scan: base digests and counts, and the weak spans that the classifier takes."""
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    counts = Counter(p for t in texts.values() for *_, p in pii.candidates(t, personal(t)))
+    w = pii.train(dict(counts))
+    taken = {p for p in counts if np.dot(pii._features(p), w) >= 0}
+    told = lambda spans: ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+    for r in registry.QUERIES["op8_pii"](spark, SF).collect():
+        base = personal(texts[r.doc_id])
+        n = Counter(k for _, k, _ in base)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [n[k] for k in range(4)]
+        assert r.base_sha256 == hashlib.sha256(told(base).encode()).hexdigest()
+        assert r.spans == told(base + [(s, k, e) for s, k, e, p in pii.candidates(texts[r.doc_id], base) if p in taken])
+
+
 # -- 9 top-k -------------------------------------------------------------------
 
 
