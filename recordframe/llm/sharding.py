@@ -1,7 +1,9 @@
 """Uniform shuffle into shards of exact size, by a hypergeometric communication matrix.
 
-1. Rows fall into ``blocks`` by a hash of their columns other than the text,
-   and are counted by block.
+1. Sizes, checksums and two random numbers of every row are written to the
+   shared folder, so that they stay what they are whichever tasks run again.
+   By the first, rows fall into blocks, and are counted by block: equal rows and
+   rows without an id spread like all others.
 2. How many rows each block sends to each cell is drawn, exactly as a uniform
    permutation of all rows would have it (multivariate hypergeometric, cell by
    cell).  A cell is one of ``cells`` runs of slots of a shard, its size known
@@ -10,15 +12,16 @@
 4. After the exchange, rows are permuted again within their cell, which gives
    their slots.
 
-The matrix has ``blocks`` x ``shards`` x ``cells`` numbers at every size of the
-input, and is broadcast under that bound.  Only identifiers, sizes and
-checksums are shuffled, twice.  Everything follows from hashes, so tasks that
-are run again give the same rows.
+There are as many blocks, and as many cells of all shards, as rows make at
+``EACH`` rows a block, 256 and 192 at least; so a task's rows stay few.  The
+matrix, blocks x cells, is broadcast up to ``TOLD`` numbers (reached at about
+40 000 million rows) and joined beyond.  Only identifiers, sizes and checksums
+are shuffled, twice.  The same seed on the same files gives the same shards.
 
 Defined results: a null text has 0 bytes and the checksum of the empty text;
 null ids are dealt like others; repeated rows are equal and take any of their
 slots; an empty table gives an empty table; with fewer rows than shards, some
-shards stay empty; other columns only enter the hash.
+shards stay empty; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,14 +29,16 @@ from __future__ import annotations
 import json
 import math
 import random
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from recordframe.llm.common import table
+from recordframe.llm.common import materialize, table
 
 OVERHEAD = 8  #: bytes that a row has besides its text
+EACH = 1 << 24  #: rows of a block
+TOLD = 6_000_000  #: numbers of the matrix that are broadcast at most
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, n: int) -> int:
@@ -92,44 +97,44 @@ def _parts(total: int, n: int) -> list[int]:
 
 
 def shuffle(
-    documents: DataFrame, shards: int = 24, cells: int = 8, blocks: int = 256, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
+    documents: DataFrame, shards: int = 24, cells: int | None = None, blocks: int | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) of every row."""
-    atomic = [f.name for f in documents.schema if f.name != text_col and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
-    names = [F.col(f"`{c}`") for c in atomic]
-
-    def hashed(k: int) -> Column:
-        return F.xxhash64(F.lit(seed + k), *names)
-
-    block = F.pmod(hashed(0), F.lit(blocks)).cast("int")
-    counted = dict(documents.groupBy(block.alias("b")).count().collect())  # one row for each block
-    counts = [counted.get(b, 0) for b in range(blocks)]
-    per_shard = _parts(sum(counts), shards)
-    matrix = communication_matrix(counts, [c for s in per_shard for c in _parts(s, cells)], seed)
-    bounds = [[sum(row[: j + 1]) for j in range(len(row))] for row in matrix]
-
+    """(doc_id, size, text_crc32, shard, slot) of every row; cells of a shard and blocks follow from the number of rows if they are not given."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    slim = documents.select(
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-        (F.octet_length(text).cast("long") + OVERHEAD).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        block.alias("block"),
-        hashed(1).alias("first"),
-        hashed(2).alias("second"),
+    held = materialize(
+        documents.select(
+            F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+            (F.octet_length(text).cast("long") + OVERHEAD).alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32"),
+            F.rand(seed).alias("first"),
+            F.rand(seed + 1).alias("second"),
+        )
     )
-    told = F.from_json(F.lit(json.dumps(bounds)), "array<array<bigint>>")
-    table_of = documents.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"), F.element_at(told, F.col("id").cast("int") + 1).alias("bounds"))
+    total = held.count()
+    blocks = blocks or max(256, -(-total // EACH))
+    cells = cells or max(8, -(-total // (EACH * shards)))
+    block = F.floor(F.col("first") * blocks).cast("int")
+    counted = dict(held.groupBy(block.alias("b")).count().collect())  # one row for each block
+    counts = [counted.get(b, 0) for b in range(blocks)]
+    per_shard = _parts(total, shards)
+    matrix = communication_matrix(counts, [c for s in per_shard for c in _parts(s, cells)], seed)
+    bounds = F.from_json(F.lit(json.dumps([list(accumulate(row)) for row in matrix])), "array<array<bigint>>")
+    slim = held.withColumn("block", block)
+    number = F.col("id").cast("int")
+    table_of = documents.sparkSession.range(blocks).select(number.alias("block"), F.element_at(bounds, number + 1).alias("bounds"))
+    if blocks * shards * cells <= TOLD:
+        table_of = F.broadcast(table_of)
 
     ties = ["text_crc32", "size"]
     place = F.row_number().over(Window.partitionBy("block").orderBy("first", *ties)).cast("long") - 1
-    sent = slim.withColumn("place", place).join(F.broadcast(table_of), "block")
+    sent = slim.withColumn("place", place).join(table_of, "block")
     sent = sent.withColumn("cell", F.size(F.filter("bounds", lambda c: c <= F.col("place"))))
 
     shard = F.floor(F.col("cell") / cells).cast("int")
     cell = F.col("cell") % cells
-    held = F.lit(sum(per_shard) // shards) + F.when(shard < sum(per_shard) % shards, 1).otherwise(0)  # rows of the shard
-    each = F.floor(held / cells)
-    offset = cell * each + F.least(cell, held - each * cells)
+    rows = F.lit(total // shards) + F.when(shard < total % shards, 1).otherwise(0)  # of the shard
+    each = F.floor(rows / cells)
+    offset = cell * each + F.least(cell, rows - each * cells)
     again = F.row_number().over(Window.partitionBy("cell").orderBy("second", "first", *ties)).cast("long") - 1
     return sent.select("doc_id", "size", "text_crc32", shard.alias("shard"), (offset + again).cast("long").alias("slot"))
 
