@@ -1,11 +1,12 @@
 """Exact top-k by inner product over a pivot-distance index.
 
 Every vector is keyed by its nearest pivot and its distance from it (one pass;
-the pivots are a fixed number of vectors chosen by hash).  The vectors of a
-pivot are cut into blocks of about ``BLOCK`` rows by a hash, so that a pivot
-with a third of all rows, even a third of equal rows, is many blocks.
+the pivots are a fixed number of vectors chosen by hash).  Distances are counted
+in ``BINS`` bins for each pivot, and neighbouring bins make blocks of up to
+``BLOCK`` rows, so a block is an annulus.  A bin with more rows, even a third of
+all and all equal, is many blocks, between which its rows are dealt.
 
-A query first searches one block of its own pivot, which gives its threshold,
+A query first searches the block that holds it, which gives its threshold,
 the k-th best score so far.  The triangle inequality bounds the scores that the
 vectors of a pivot within some distances can have:
 
@@ -14,14 +15,16 @@ vectors of a pivot within some distances can have:
 
 Only the blocks whose bound reaches the threshold are visited; in each, the
 sorted annuli are expanded from the best bound on, until no bound reaches the
-k-th best score.  Queries go to blocks in chunks, so both sides of every group
-have a bounded number of rows.
+k-th best score.  A block is sent once for every ``CHUNK`` queries that need it,
+and not at all where none does, so both sides of every group have a bounded
+number of rows.
 
 Components are integers, floor(1024 x), and scores are exact.  Defined results:
 vectors that are null or have null or non-finite components take no part, nor
 do rows without an id; an empty vector scores 0; shorter vectors count as
 padded with zeros; rows with the query's id are its own; equal scores go by the
-smaller id, repeated rows each count; an empty table gives an empty result;
+smaller id, repeated rows each count; products beyond 64 bits count as the
+nearest 64-bit number; an empty table gives an empty result;
 other columns are not read.
 """
 
@@ -37,7 +40,8 @@ from pyspark.sql import functions as F
 
 from recordframe.llm.common import map_rows, materialize, table
 
-PIVOTS, BLOCK, CHUNK, ANNULUS = 32, 4096, 4096, 256
+PIVOTS, BLOCK, CHUNK, ANNULUS, BINS = 32, 4096, 4096, 256, 1024
+_TOLD = 1_000_000  #: rows of up to 50 bytes that are broadcast at most
 _EXACT = 2.0**53
 
 
@@ -81,7 +85,7 @@ def _bound(dot: np.ndarray, norm: np.ndarray, apart: np.ndarray, low, high, most
 
 
 def keyed(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """vec_id, v, pivot, far (the distance from it), norm."""
+    """vec_id, v, pivot, far (the distance from it), norm, deal (that equal rows can be dealt by)."""
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
@@ -89,9 +93,24 @@ def keyed(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
         m = _matrix(b.column(1).to_pylist())
         d = _distances(m, pivots)
         near = d.argmin(1)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(m)), near]), pa.array(np.sqrt((m.astype(np.float64) ** 2).sum(1)))], names=["vec_id", "v", "pivot", "far", "norm"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(m)), near]), pa.array(np.sqrt((m.astype(np.float64) ** 2).sum(1))), pa.array(np.arange(len(m), dtype=np.int32))], names=["vec_id", "v", "pivot", "far", "norm", "deal"])
 
-    return map_rows(vectors, run, "vec_id long, v array<long>, pivot int, far double, norm double")
+    return map_rows(vectors, run, "vec_id long, v array<long>, pivot int, far double, norm double, deal int")
+
+
+def annuli(bins: list, most: int) -> list[tuple]:
+    """(pivot, first bin, last bin, rows, least distance, greatest, greatest norm) of runs of bins of up to ``most`` rows, or of one bin.
+
+    bins: (pivot, bin, rows, least distance, greatest, greatest norm), in any order.
+    """
+    out: list[tuple] = []
+    for p, b, n, low, high, norm in sorted(bins):
+        if out and out[-1][0] == p and out[-1][3] + n <= most:
+            _, start, _, m, least, _, size = out[-1]
+            out[-1] = (p, start, b, m + n, least, high, max(size, norm))
+        else:
+            out.append((p, b, b, n, low, high, norm))
+    return out
 
 
 def _search(pivots: np.ndarray, k: int):
@@ -147,44 +166,64 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     points = _matrix([r.v for r in chosen])
     held = materialize(keyed(rows, points))
-    stats = held.groupBy("pivot").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high"), F.max("norm").alias("most")).collect()  # a row for each pivot
-    blocks = {r.pivot: -(-r.n // block) for r in stats}
-    first = {p: sum(n for o, n in blocks.items() if o < p) for p in blocks}
-    n_of, first_of = (F.create_map(*(F.lit(x) for kv in m.items() for x in kv)) for m in (blocks, first))
-    candidates = held.withColumn("block", (F.element_at(first_of, F.col("pivot")) + F.pmod(F.xxhash64("vec_id", F.lit(1)), F.element_at(n_of, F.col("pivot")))).cast("int"))
-
-    asked = held.withColumnRenamed("vec_id", "query_id").filter(is_query("query_id")).withColumn("query_key", F.xxhash64("v")).dropDuplicates(["query_id", "query_key"])
-    chunks = max(1, -(-asked.count() // chunk))
-    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(chunks)).cast("int"))
-    everywhere = candidates.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    reach = {r.pivot: (r.low, r.high) for r in held.groupBy("pivot").agg(F.min("far").alias("low"), F.max("far").alias("high")).collect()}  # a row for each pivot
+    of = lambda i: F.element_at(F.create_map(*(F.lit(x) for p, v in reach.items() for x in (p, v[i]))), F.col("pivot"))
+    span = of(1) - of(0)
+    bin_of = F.when(span > 0, F.least(F.floor((F.col("far") - of(0)) / span * BINS), F.lit(BINS - 1))).otherwise(0).cast("int")
+    binned = held.withColumn("bin", bin_of)
+    counted = binned.groupBy("pivot", "bin").agg(F.count("*"), F.min("far"), F.max("far"), F.max("norm")).collect()  # pivots x BINS rows at most
+    runs = annuli([tuple(r) for r in counted], block)
+    parts = [-(-r[3] // block) for r in runs]
+    first = np.concatenate(([0], np.cumsum(parts))).astype(int)  # of the blocks of each run
+    whose = spark.createDataFrame([(r[0], b, int(first[i]), parts[i]) for i, r in enumerate(runs) for b in range(r[1], r[2] + 1)], "pivot int, bin int, first int, parts int")
+    dealt = F.pmod(F.xxhash64("vec_id", "deal"), F.col("parts"))
+    candidates = binned.join(F.broadcast(whose), ["pivot", "bin"]).withColumn("block", (F.col("first") + dealt).cast("int")).drop("bin", "first", "parts", "deal")
+
+    asked = candidates.withColumnRenamed("vec_id", "query_id").filter(is_query("query_id")).withColumn("query_key", F.xxhash64("v"))
+    asked = materialize(asked.drop("far", "pivot").dropDuplicates(["query_id", "query_key"]))
     found = "query_id long, query_key long, vec_id long, score long"
 
-    def visit(queries: DataFrame, some: DataFrame) -> DataFrame:
-        return some.groupBy("block", "chunk").cogroup(queries.groupBy("block", "chunk")).applyInPandas(_search(points, k), found)
+    def visit(queries: DataFrame, load: DataFrame) -> DataFrame:
+        """Each block meets the queries that are sent to it, in as many copies as they are chunks; load: parts of their numbers (block, n)."""
+        needed = load.groupBy("block").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"))
+        needed = F.broadcast(needed) if int(first[-1]) <= _TOLD else needed
+        copies = candidates.join(needed, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+        sent = queries.join(needed, "block").withColumn("chunk", F.pmod(F.xxhash64("query_id", "query_key", F.lit(2)), F.col("chunks")).cast("int")).drop("chunks")
+        return copies.groupBy("block", "chunk").cogroup(sent.groupBy("block", "chunk")).applyInPandas(_search(points, k), found)
 
-    home = asked.withColumn("block", F.element_at(first_of, F.col("pivot")).cast("int")).withColumn("kth", F.lit(float("-inf")))
-    at_home = materialize(visit(home, everywhere.filter(F.col("block").isin(sorted(first.values())))))
+    at_home = materialize(visit(asked.withColumn("kth", F.lit(float("-inf"))), asked.select("block", F.lit(1).alias("n"))))
     kth = at_home.groupBy("query_id", "query_key").agg(F.when(F.count("*") == k, F.min("score").cast("double")).alias("k"))
-    told = home.drop("kth").join(kth, ["query_id", "query_key"], "left").withColumn("kth", F.coalesce("k", F.lit(float("-inf")))).drop("k")
-    told = told.withColumnRenamed("block", "home")
-    bounds = {r.pivot: (r.low, r.high, r.most) for r in stats}
+    told = asked.join(kth, ["query_id", "query_key"], "left").withColumn("kth", F.coalesce("k", F.lit(float("-inf")))).drop("k").withColumnRenamed("block", "home")
+    pivot_of = np.array([r[0] for r in runs])
+    low, high, most = (np.array([r[i] for r in runs]) for i in (4, 5, 6))
+
+    def reached(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Some queries, and for each block besides its own that one of them needs: the query's row, the block."""
+        for at in range(0, b.num_rows, 64):
+            some = b.slice(at, 64)
+            t = {n: some.column(i) for i, n in enumerate(some.schema.names)}
+            q, size, kth = _matrix(t["v"].to_pylist()), t["norm"].to_numpy()[:, None], t["kth"].to_numpy()[:, None]
+            d, dot = _distances(q, points)[:, pivot_of], _products(q, points).astype(float)[:, pivot_of]
+            row, run = np.nonzero(_bound(dot, size, d, low, high, most) >= kth)
+            n = np.asarray(parts)[run]
+            to = np.repeat(first[run] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            row = np.repeat(row, n)
+            other = to != t["home"].to_numpy()[row]
+            yield some, row[other], to[other].astype(np.int32)
 
     def route(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not b.num_rows:
-            return
-        t = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-        q, size, kth = _matrix(t["v"].to_pylist()), t["norm"].to_numpy(), t["kth"].to_numpy()
-        d, dot, homes = _distances(q, points), _products(q, points).astype(float), t["home"].to_numpy()
-        for p, (low, high, most) in bounds.items():
-            reached = np.flatnonzero(_bound(dot[:, p], size, d[:, p], low, high, most) >= kth)
-            for n in range(first[p], first[p] + blocks[p]):
-                go = reached[homes[reached] != n]
-                if len(go):
-                    yield pa.RecordBatch.from_arrays([*b.take(pa.array(go)).columns, pa.array(np.full(len(go), n, np.int32))], names=[*b.schema.names, "block"])
-
-    columns = ["query_id", "query_key", "v", "norm", "kth", "chunk", "home"]
-    sent = map_rows(told.select(*columns), route, "query_id long, query_key long, v array<long>, norm double, kth double, chunk int, home int, block int")
-    both = at_home.unionByName(visit(sent, everywhere))
+        for some, row, to in reached(b):
+            for i in range(0, len(row), 1 << 13):
+                yield pa.RecordBatch.from_arrays([*some.take(pa.array(row[i : i + (1 << 13)])).columns, pa.array(to[i : i + (1 << 13)])], names=[*some.schema.names, "block"])
+
+    def weigh(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for _, _, to in reached(b):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(to, return_counts=True)], names=["block", "n"])
+
+    columns = ["query_id", "query_key", "v", "norm", "kth", "home"]
+    told = told.select(*columns)
+    sent = map_rows(told, route, "query_id long, query_key long, v array<long>, norm double, kth double, home int, block int")
+    both = at_home.unionByName(visit(sent, map_rows(told, weigh, "block int, n long")))
     rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id"))
     return both.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
