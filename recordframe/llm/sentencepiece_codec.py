@@ -379,12 +379,13 @@ def encode(documents: DataFrame, model_path: str, id_col: str = "doc_id", text_c
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    """Counts and digests of what encode() returned."""
+    """Counts and digests of what encode() returned; spans_hash is Spark's xxhash64 of the pieces' ends."""
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.xxhash64("ends").alias("spans_hash"),
     )
 
 
