@@ -7,6 +7,10 @@ occur before; the characters of their words, each counted once, are the
 coverage.  All work is on one document at a time: there is no shuffle, and
 memory is bounded by the largest text.
 
+The share of repeated lines counts from ``Limits.min_lines`` lines on, a
+parameter: one of two lines says little.  The share of characters in repeated
+lines counts for every text.
+
 Defined results: a null or empty text has no words, so it fails the base rule;
 a null id stays null; repeated rows are judged each on its own; an empty table
 gives an empty table; further columns are ignored by ``assess`` and kept by
