@@ -7,15 +7,17 @@ named persons, street addresses) are looked for by loose patterns, and six
 labelers vote on each: strict form, gazetteer, checksum, context before,
 misleading context, and known personal data nearby.
 
-1. One pass over all texts counts candidates by kind, votes and shape.  The
-   number of such patterns is fixed by the design, so the counts are small
-   however large the corpus is.
-2. Expectation-maximisation over the counts (each labeler's rates of voting
+1. One pass over all texts takes base spans and candidates, each with its kind,
+   votes and shape, to a table in the shared folder; no text is in it.
+2. Its candidates are counted by pattern.  The number of such patterns is fixed
+   by the design, so the counts are small however large the corpus is.
+   Expectation-maximisation over the counts (each labeler's rates of voting
    for, against or not at all, given the truth; a prior for each kind)
    estimates the reliabilities without labelled data.
 3. A logistic regression on votes, kind and shape is trained with the
    posteriors as its targets, weighted by the counts.
-4. A second pass reports the candidates that it gives ``THRESHOLD`` or more.
+4. The candidates that it gives ``THRESHOLD`` or more are reported, from the
+   table; the texts are not read again.
 
 Patterns are matched so that time grows with the length of the text alone.
 
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordframe.llm.common import id_and_text, map_rows, table
+from recordframe.llm.common import id_and_text, map_rows, materialize, table
 
 BASE = ("email", "ip", "card", "phone")
 WEAK = ("local_phone", "identity", "account", "person", "street")
@@ -149,21 +151,30 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[in
 
 
 N_VOTES = 6
-_COUNTED = "pattern array<int>, n long"
+_SPAN = "start:int,kind:int,stop:int"
 
 
-def count_patterns(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[tuple, int]:
-    """How often each pattern of candidates occurs in all texts."""
+def extract(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ``base`` spans and ``weak`` candidates with their patterns: all that is needed of a text."""
+    span = [("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())]
+    base_type, weak_type = pa.list_(pa.struct(span)), pa.list_(pa.struct([*span, ("pattern", pa.list_(pa.int32()))]))
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        sure, loose = [], []
         for t in b.column(1):
             text = t.as_py().decode("utf-8", "replace")
-            seen.update(p for *_, p in candidates(text, base_spans(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(map(list, seen)), pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
+            base = base_spans(text)
+            sure.append([{"start": s, "kind": k, "stop": e} for s, k, e in base])
+            loose.append([{"start": s, "kind": k, "stop": e, "pattern": p} for s, k, e, p in candidates(text, base)])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sure, base_type), pa.array(loose, weak_type)], names=["doc_id", "base", "weak"])
+
+    return map_rows(id_and_text(documents, id_col, text_col), run, f"doc_id long, base array<struct<{_SPAN}>>, weak array<struct<{_SPAN},pattern:array<int>>>")
+
 
-    counted = map_rows(id_and_text(documents, id_col, text_col), run, _COUNTED).groupBy("pattern").agg(F.sum("n").alias("n"))
-    return {tuple(r.pattern): r.n for r in counted.collect()}
+def count_patterns(extracted: DataFrame) -> dict[tuple, int]:
+    """How often each pattern of candidates occurs in what ``extract`` found."""
+    counted = extracted.select(F.explode("weak.pattern").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+    return {tuple(r.pattern): r.n for r in counted.collect()}  # the design bounds their number
 
 
 def em(counts: dict[tuple, int], rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -224,31 +235,28 @@ def train(counts: dict[tuple, int], rounds: int = 300) -> np.ndarray:
     return w
 
 
-def find(documents: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ``spans``: (start, kind as a number, stop, base), sorted."""
-    kind_of = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32()), ("base", pa.bool_())]))
-    known: dict[tuple, bool] = {}
-
-    def yes(p: tuple) -> bool:
-        if p not in known:
-            known[p] = 1 / (1 + math.exp(-float(np.clip(np.dot(_features(p), weights), -30, 30)))) >= THRESHOLD
-        return known[p]
+def accepted(counts: dict[tuple, int], weights: np.ndarray) -> list[tuple]:
+    """The patterns that the classifier takes for personal data."""
+    return [p for p in counts if 1 / (1 + math.exp(-float(np.clip(np.dot(_features(p), weights), -30, 30)))) >= THRESHOLD]
 
-    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for t in b.column(1):
-            text = t.as_py().decode("utf-8", "replace")
-            base = base_spans(text)
-            spans = [(s, k, e, True) for s, k, e in base] + [(s, k, e, False) for s, k, e, p in candidates(text, base) if yes(p)]
-            rows.append([{"start": s, "kind": k, "stop": e, "base": own} for s, k, e, own in sorted(spans)])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind_of)], names=["doc_id", "spans"])
 
-    return map_rows(id_and_text(documents, id_col, text_col), run, "doc_id long, spans array<struct<start:int,kind:int,stop:int,base:boolean>>")
+def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and ``spans``: (start, kind as a number, stop, base), sorted."""
+    extracted = materialize(extract(documents, id_col, text_col))
+    counts = count_patterns(extracted)
+    good = [",".join(map(str, p)) for p in accepted(counts, train(counts))]
+    told = lambda x, own: F.struct(x["start"], x["kind"], x["stop"], F.lit(own).alias("base"))
+    base = F.transform("base", lambda x: told(x, True))
+    if not good:
+        return extracted.select("doc_id", F.array_sort(base).alias("spans"))
+    holds = F.create_map(*(F.lit(x) for p in good for x in (p, True)))
+    taken = F.filter("weak", lambda x: F.coalesce(F.element_at(holds, F.array_join(x["pattern"].cast("array<string>"), ",")), F.lit(False)))
+    return extracted.select("doc_id", F.array_sort(F.concat(base, F.transform(taken, lambda x: told(x, False)))).alias("spans"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    found = find(documents, train(count_patterns(documents)))
+    found = find(documents)
     names = F.array(*(F.lit(k) for k in KINDS))
     base = F.filter("spans", lambda x: x["base"])
     told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["stop"])), ",")
