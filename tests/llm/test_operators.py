@@ -166,6 +166,28 @@ def test_shards(spark, docs):
     assert {(r.doc_id, r.shard, r.slot) for r in again} == {(r.doc_id, r.shard, r.slot) for r in rows}
 
 
+@pytest.mark.parametrize("blocks, cells", [(1, 1), (7, 3), (300, 40)])
+def test_equal_rows_are_dealt(spark, blocks, cells):
+    """Rows without ids, all equal or with texts of their own: every slot once, whatever the matrix."""
+    df = spark.createDataFrame([(None, "same")] * 200 + [(None, f"t{i}") for i in range(53)], "doc_id long, text string")
+    rows = sharding.shuffle(df, 4, cells, blocks).collect()
+    assert Counter((r.shard, r.slot) for r in rows) == Counter((s, i) for s in range(4) for i in range(64 if s < 1 else 63))
+    assert Counter(r.text_crc32 for r in rows) == Counter(zlib.crc32(t.encode()) for t in ["same"] * 200 + [f"t{i}" for i in range(53)])
+
+
+def test_places_are_uniform(spark):
+    """Over many seeds, each of nine rows takes each place about as often, and so does each pair of places (chi-square)."""
+    df = spark.createDataFrame([(i, str(i)) for i in range(9)], "doc_id long, text string").coalesce(1).cache()
+    seeds, single, pair = 30, Counter(), Counter()
+    for seed in range(seeds):
+        at = {r.doc_id: r.shard * 3 + r.slot for r in sharding.shuffle(df, 3, 1, 2, seed * 10).collect()}
+        assert sorted(at.values()) == list(range(9))
+        single.update(at.items())
+        pair.update(at[i] < at[i + 1] for i in range(8))
+    x = sum((single[i, j] - seeds / 9) ** 2 / (seeds / 9) for i in range(9) for j in range(9))
+    assert 30 < x < 115 and abs(pair[True] / (8 * seeds) - 0.5) < 0.1  # 64 degrees of freedom
+
+
 # -- 3 SentencePiece -----------------------------------------------------------
 
 
@@ -485,10 +507,12 @@ def test_weak_supervision(spark):
     good = [f"please call or phone ({200 + i % 700}) {201 + i % 700}-{1000 + i} today" for i in range(60)]
     bad = [f"version {100 + i % 800}.{100 + i}.{1000 + i} of the part" for i in range(60)]
     df = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
-    w = pii.train(pii.count_patterns(df))
-    rows = {r.doc_id: r.spans for r in pii.find(df, w).collect()}
+    counts = pii.count_patterns(pii.extract(df))
+    want = Counter(p for t in good + bad for *_, p in pii.candidates(t, pii.base_spans(t)))
+    assert counts == want
+    rows = {r.doc_id: r.spans for r in pii.find(df).collect()}
     assert sum(bool(rows[i]) for i in range(60)) >= 54 and sum(bool(rows[i]) for i in range(60, 120)) <= 6
-    q, rates = pii.em(pii.count_patterns(df))
+    q, rates = pii.em(counts)
     assert rates[3, 1, 2] > rates[3, 0, 2]  # the context labeler votes for where it is true
 
 
@@ -525,6 +549,11 @@ def test_top_k(spark):
     assert sorted(tuple(r) for r in got) == sorted(want)
 
 
+def test_annuli():
+    bins = [(0, 0, 3, 0.0, 1.0, 5.0), (0, 1, 4, 1.5, 2.0, 9.0), (0, 2, 50, 2.5, 2.5, 1.0), (0, 9, 2, 7.0, 8.0, 2.0), (1, 0, 1, 0.0, 0.0, 3.0)]
+    assert topk_search.annuli(bins[::-1], 10) == [(0, 0, 1, 7, 0.0, 2.0, 9.0), (0, 2, 2, 50, 2.5, 2.5, 1.0), (0, 9, 9, 2, 7.0, 8.0, 2.0), (1, 0, 0, 1, 0.0, 0.0, 3.0)]
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in topk_search.top_k(df, lambda c: F.col(c) % 100 == 0).collect()) == [(0, 1, 1, 2097152), (0, 2, 2, 0)]
