@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import glob
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,10 +72,28 @@ def give_back() -> None:
         pass
 
 
+def one_thread() -> None:
+    """Matrix products in this process use one thread: a task has one core, and waiting threads burn the others'."""
+    global _alone
+    if not _alone:
+        _alone = True
+        folder = os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs")
+        for path in glob.glob(os.path.join(folder, "*openblas*")):
+            library = ctypes.CDLL(path)
+            for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(library, name):
+                    getattr(library, name)(1)
+                    break
+
+
+_alone = False
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow that gives memory back when its task ends."""
+    """A function for mapInArrow that keeps to its core, and gives memory back when its task ends."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         try:
             yield from run(batches)
         finally:

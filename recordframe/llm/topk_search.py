@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordframe.llm.common import map_rows, materialize, table
+from recordframe.llm.common import map_rows, materialize, one_thread, table
 
 PIVOTS, BLOCK, CHUNK, ANNULUS, BINS = 32, 4096, 4096, 256, 1024
 _TOLD = 1_000_000  #: rows of up to 50 bytes that are broadcast at most
@@ -120,6 +120,7 @@ def _search(pivots: np.ndarray, k: int):
         none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "query_key": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
         if not len(block) or not len(queries):
             return none
+        one_thread()
         block = block.sort_values(["far", "vec_id"], kind="stable")
         ids, x, far, norm = block["vec_id"].to_numpy(), _matrix(block["v"]), block["far"].to_numpy(), block["norm"].to_numpy()
         p = pivots[int(block["pivot"].iloc[0])][None]
