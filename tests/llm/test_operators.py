@@ -376,6 +376,60 @@ def test_quality_verdicts():
     assert not judge(clean + "\n" + " ".join(clean.split()[:150])) and not judge("buy now " * 100)
 
 
+def plainly_kept(text, limits):
+    """The verdict by counting tuples of words."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, chars = len(words), sum(map(len, words))
+    three = Counter(zip(words, words[1:], words[2:]))
+    inside = {j for i in range(n - 2) if three[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)}
+    if n < 50 or 100 * len(inside) > 50 * n:
+        return False
+    for k in range(2, 11):
+        grams = [tuple(words[i : i + k]) for i in range(n - k + 1)]
+        often, seen, again = Counter(grams), set(), set()
+        if k in limits.top:
+            # the most frequent windows; of equally frequent ones any may be the one that is measured
+            most = max(often.values())
+            shares = {most * sum(map(len, g)) / chars for g, c in often.items() if c == most and most > 1}
+            if shares and min(shares) > limits.top[k]:
+                return False
+            if shares and max(shares) > limits.top[k]:
+                return None
+        for i, g in enumerate(grams):
+            if g in seen:
+                again.update(range(i, i + k))
+            seen.add(g)
+        if k in limits.dup and sum(len(words[j]) for j in again) / chars > limits.dup[k]:
+            return False
+    seen, lines, dup, dup_chars = set(), 0, 0, 0
+    for x in text.split("\n"):
+        if own := re.findall(r"[^\x20\x09-\x0D]+", x):
+            lines += 1
+            dup += x in seen
+            dup_chars += sum(map(len, own)) if x in seen else 0
+            seen.add(x)
+    if lines >= limits.min_lines and dup / lines > limits.dup_lines or dup_chars / chars > limits.dup_line_chars:
+        return False
+    return sum(text.count(c) for c in "#*$%&|<>") <= limits.symbols_per_word * n
+
+
+def test_quality_verdicts_by_counting(spark, docs):
+    limits, rng = quality_rules.Limits(), random.Random(3)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in registry.QUERIES["op5_quality_rules"](spark, SF).collect():
+        want = plainly_kept(texts[r.doc_id], limits)
+        assert want is None or r.kept == want, r.doc_id
+    verdicts = Counter()
+    for _ in range(300):  # near the limits: some words, lines and symbols come again
+        base = [f"w{rng.randint(0, 400)}é" for _ in range(rng.randint(40, 200))]
+        words = base + [w for _ in range(rng.randint(0, 4)) for at in [rng.randrange(len(base))] for w in base[at : at + rng.randint(2, 25)]]
+        text = "".join(w + rng.choice(["\n", " ", " ", " ", " # "]) for w in words) + "\n".join(["same line"] * rng.randint(0, 9))
+        want = plainly_kept(text, limits)
+        verdicts[want] += 1
+        assert want is None or quality_rules.measure(text.encode(), limits)[6] == want, text
+    assert verdicts[True] > 20 and verdicts[False] > 20
+
+
 def test_quality_keeps_columns(spark, docs):
     kept = quality_rules.keep(docs)
     assert kept.schema == docs.schema
