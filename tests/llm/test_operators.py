@@ -423,7 +423,7 @@ def test_quality_verdicts_by_counting(spark, docs):
     for _ in range(300):  # near the limits: some words, lines and symbols come again
         base = [f"w{rng.randint(0, 400)}é" for _ in range(rng.randint(40, 200))]
         words = base + [w for _ in range(rng.randint(0, 4)) for at in [rng.randrange(len(base))] for w in base[at : at + rng.randint(2, 25)]]
-        text = "".join(w + rng.choice(["\n", " ", " ", " ", " # "]) for w in words) + "\n".join(["same line"] * rng.randint(0, 9))
+        text = "".join(w + rng.choice(["\n"] * 4 + [" "] * 17 + [" # "] * rng.randint(0, 2)) for w in words) + "\n" + "\n".join(["same line"] * rng.choice([0, 0, 2, 4]))
         want = plainly_kept(text, limits)
         verdicts[want] += 1
         assert want is None or quality_rules.measure(text.encode(), limits)[6] == want, text
