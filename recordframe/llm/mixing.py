@@ -1,7 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-1. Topics: a few centroids of hashed word frequencies, fitted on a bounded
-   sample (``FIT`` documents, chosen by hash); every document takes the nearest.
+1. Topics: a few centroids of hashed word frequencies, fitted on all documents
+   of ``LEAST`` words or more (on all with a word, if there are none): words are
+   hashed once, and each round of the fit is a pass over what was counted.
+   Every document takes the nearest.  Frequencies and centroids are multiples of
+   1 / ``UNIT``, so that sums and distances are exact, whatever the order and the
+   partitions.
 2. Words are counted by source, language and topic over all documents; every
    source and language is a category of its own.
 3. Raking scales the cells to the target marginals in turn until all hold: on
@@ -30,38 +34,106 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordframe.llm.common import by_least_hash, map_rows, materialize, table
-from recordframe.llm.hashing import U, word_hashes
+from recordframe.llm.common import map_rows, materialize, table, tidy
+from recordframe.llm.hashing import U, mix, word_hashes
 
-FIT, TOPICS, WIDTH = 2_000, 6, 128
+TOPICS, WIDTH = 6, 128
+LEAST = 20  #: shorter texts say nothing of topics
+UNIT = 1 << 20
 CELLS = 50_000
 
 
-def words_and_features(text: bytes) -> tuple[int, np.ndarray]:
-    """How many words, and the root of the shares of their hashes, a unit vector."""
+def words(text: bytes) -> tuple[int, np.ndarray]:
+    """How many words, and how many of each remainder of their hashes."""
     h = word_hashes(text)
-    if not len(h):
-        return 0, np.zeros(WIDTH)
-    return len(h), np.sqrt(np.bincount((h % U(WIDTH)).astype(np.int64), minlength=WIDTH) / len(h))
+    return len(h), np.bincount((h % U(WIDTH)).astype(np.int64), minlength=WIDTH)
 
 
-def fit_topics(found: list[tuple[int, np.ndarray]], k: int = TOPICS, rounds: int = 10) -> np.ndarray:
-    """Centroids by Lloyd's method from seeds drawn by squared distance; very short texts say nothing of topics."""
-    found = [x for x in found if x[0]]
-    x = np.array([f for n, f in found if n >= 20] or [f for _, f in found])
-    if not len(x):
+def features(counts: np.ndarray) -> np.ndarray:
+    """A line each: the roots of the shares, a unit vector but for rounding; zeros without words."""
+    share = counts / np.maximum(1, counts.sum(1, keepdims=True))
+    return np.rint(np.sqrt(share) * UNIT) / UNIT
+
+
+def distances(centroids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Squared, of each line of x to each centroid; exact, as all are multiples of 1 / UNIT up to 1."""
+    return (x * x).sum(1)[:, None] - 2 * (x @ centroids.T) + (centroids * centroids).sum(1)
+
+
+def topics(centroids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return distances(centroids, features(counts)).argmin(1)
+
+
+def _counts(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of COUNTED, some at a time, with their counts as lines."""
+    for at in range(0, b.num_rows, 1_024):
+        some = b.slice(at, 1_024)
+        yield some, np.frombuffer(b"".join(some.column("f").to_pylist()), np.int32).reshape(-1, WIDTH)
+
+
+COUNTED = "source string, lang string, h long, n long, f binary"
+
+
+def _draw(centroids: np.ndarray | None):
+    """Of a task: the row that wins a race in which the squared distance to the nearest centroid is the speed."""
+    turn = U(0 if centroids is None else len(centroids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for b in batches:
+            for some, counts in _counts(b):
+                h = some.column("h").to_numpy(zero_copy_only=False)
+                far = np.ones(len(counts)) if centroids is None else distances(centroids, features(counts)).min(1)
+                u = ((mix(h.view(np.uint64) + turn) >> U(11)).astype(np.float64) + 0.5) / (1 << 53)
+                when = np.divide(-np.log(u), far, out=np.full(len(u), np.inf), where=far > 0)
+                i = int(when.argmin())
+                if when[i] < np.inf:
+                    found = float(when[i]), int(h[i]), counts[i].tobytes()
+                    best = min(best or found, found)
+        yield pa.RecordBatch.from_pylist([dict(zip(("t", "h", "f"), best))] if best else [], pa.schema([("t", pa.float64()), ("h", pa.int64()), ("f", pa.binary())]))
+
+    return run
+
+
+def _sums(centroids: np.ndarray):
+    """Of a task: by topic, how many rows (place -1), and their sum at each place in parts of UNIT."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(centroids), WIDTH + 1), np.int64)
+        for b in batches:
+            for _, counts in _counts(b):
+                x = features(counts)
+                near = distances(centroids, x).argmin(1)
+                total[:, 0] += np.bincount(near, minlength=len(centroids))
+                total[:, 1:] += ((near == np.arange(len(centroids))[:, None]).astype(float) @ (x * UNIT)).astype(np.int64)
+        at, place = (x.ravel().astype(np.int32) for x in np.indices(total.shape))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(place - 1, pa.int32()), pa.array(total.ravel())], names=["topic", "place", "total"])
+
+    return run
+
+
+def fit_topics(counted: DataFrame, k: int = TOPICS, rounds: int = 10) -> np.ndarray:
+    """Centroids by Lloyd's method from seeds drawn by squared distance, on all rows of COUNTED with enough words."""
+    most = counted.agg(F.max("n")).first()[0] or 0
+    if not most:
         return np.zeros((1, WIDTH))
-    rng = np.random.default_rng(0)
-    c = [x[0]]
-    while len(c) < min(k, len(x)):
-        far = np.min([((x - y) ** 2).sum(1) for y in c], 0)
-        if far.sum() <= 0:
+    rows = counted.filter(F.col("n") >= (LEAST if most >= LEAST else 1)).select("h", "f")
+    c = None
+    while c is None or len(c) < k:
+        first = rows.mapInArrow(tidy(_draw(c)), "t double, h long, f binary").orderBy("t", "h", "f").limit(1).collect()
+        if not first:
             break
-        c.append(x[int(np.searchsorted(np.cumsum(far), rng.random() * far.sum()))])
-    c = np.array(c)
+        seed = features(np.frombuffer(first[0].f, np.int32)[None])
+        c = seed if c is None else np.concatenate([c, seed])
     for _ in range(rounds):
-        near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
-        c = np.array([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
+        total = np.zeros((len(c), WIDTH + 1))
+        for r in rows.mapInArrow(tidy(_sums(c)), "topic int, place int, total long").groupBy("topic", "place").agg(F.sum("total").alias("total")).collect():  # TOPICS times WIDTH + 1
+            total[r.topic, r.place + 1] = r.total
+        n = total[:, :1]
+        now = np.where(n > 0, np.rint(total[:, 1:] / np.maximum(1, n)) / UNIT, c)
+        if (now == c).all():
+            break
+        c = now
     return c
 
 
@@ -164,10 +236,6 @@ class Plan:
         return joined.withColumn(out[0], p).withColumn(out[1], (F.floor(p) + (F.col(chance) < p - F.floor(p)).cast("long")).cast("int"))
 
 
-def topic(centroids: np.ndarray, feature: np.ndarray) -> int:
-    return int(((centroids - feature) ** 2).sum(1).argmin())
-
-
 def _tempered(power: float) -> Tempered:
     return Tempered(power)
 
@@ -186,25 +254,27 @@ def plan(
     category to the weights wanted; the default lifts the rare ones.
     """
 
-    def features(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        told = [words_and_features(t.as_py()) for t in b.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in told], pa.int64()), pa.array([f.tobytes() for _, f in told], pa.binary())], names=["n", "f"])
+    name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+
+    def count(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        told = [words(t.as_py()) for t in b.column("t")]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([n for n, _ in told], pa.int64()), pa.array([f.astype(np.int32).tobytes() for _, f in told], pa.binary())], names=["source", "lang", "h", "n", "f"])
 
-    some = by_least_hash(documents.select(F.xxhash64(F.col(f"`{id_col}`"), F.lit(7)).alias("h"), _text(documents, text_col).alias("t")), F.col("h"), FIT).select("t")
-    centroids = fit_topics([(r.n, np.frombuffer(r.f)) for r in sorted(map_rows(some, features, "n long, f binary").limit(FIT).collect())])  # FIT rows of fixed size
+    text = _text(documents, text_col)
+    slim = documents.select(name(source_col).alias("source"), name(language_col).alias("lang"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("h"), text.alias("t"))
+    counted = materialize(map_rows(slim, count, COUNTED), compression="zstd")
+    centroids = fit_topics(counted)
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple, int] = {}
-        for s, lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            n, f = words_and_features(t.as_py())
-            key = (s, lang, topic(centroids, f))
-            seen[key] = seen.get(key, 0) + n
+        for some, counts in _counts(b):
+            for s, lang, n, t in zip(*(some.column(c).to_pylist() for c in ("source", "lang", "n")), topics(centroids, counts).tolist()):
+                seen[s, lang, t] = seen.get((s, lang, t), 0) + n
         cols = list(zip(*seen)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["source", "lang", "topic", "n"])
 
-    name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    counted = materialize(map_rows(documents.select(name(source_col).alias("source"), name(language_col).alias("lang"), _text(documents, text_col).alias("t")), run, "source string, lang string, topic int, n long"))
-    cells = materialize(counted.groupBy(*PARTS).agg(F.sum("n").alias("n")))
+    by_batch = map_rows(counted, run, "source string, lang string, topic int, n long")
+    cells = materialize(by_batch.groupBy(*PARTS).agg(F.sum("n").alias("n")))
     spark = documents.sparkSession
     if cells.count() > CELLS:
         raked = rake_table(cells, targets)
@@ -221,6 +291,16 @@ def plan(
     return Plan(centroids, tokens, weights, spark.createDataFrame(found, "source string, lang string, topic int, probability double"))
 
 
+def _topics(centroids: np.ndarray, texts: list[bytes]) -> tuple[list[int], list[int]]:
+    """Of each text, how many words and the topic."""
+    n, found = [], []
+    for at in range(0, len(texts), 1_024):
+        told = [words(t) for t in texts[at : at + 1_024]]
+        n += [k for k, _ in told]
+        found += topics(centroids, np.array([f for _, f in told])).tolist()
+    return n, found
+
+
 def _chance(doc_id: int | None, text: bytes, seed: int) -> float:
     """In [0, 1), the same for the same document."""
     return xxhash.xxh3_64_intdigest(text if doc_id is None else str(doc_id).encode(), seed) / 2.0**64
@@ -231,11 +311,9 @@ def assign(documents: DataFrame, p: Plan, seed: int = 11, id_col: str = "doc_id"
     centroids = p.centroids
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for i, t in zip(b.column(0).to_pylist(), b.column(3)):
-            text = t.as_py()
-            n, f = words_and_features(text)
-            rows.append((topic(centroids, f), n, _chance(i, text, seed)))
+        rows, raw = [], [t.as_py() for t in b.column(3)]
+        for n, t, i, text in zip(*_topics(centroids, raw), b.column(0).to_pylist(), raw):
+            rows.append((t, n, _chance(i, text, seed)))
         cols = list(zip(*rows)) or [()] * 3
         more = [pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int64(), pa.float64()])]
         yield pa.RecordBatch.from_arrays([*b.columns[:3], *more], names=["doc_id", "source", "lang", "topic", "n_tokens", "chance"])
@@ -254,9 +332,9 @@ def sample(documents: DataFrame, p: Plan, seed: int = 11, id_col: str = "doc_id"
     @F.arrow_udf("struct<topic:int,chance:double>")
     def told(ids: pa.Array, texts: pa.Array) -> pa.Array:
         raw = [t.as_py() for t in texts]
-        topics = [topic(centroids, words_and_features(t)[1]) for t in raw]
+        found = _topics(centroids, raw)[1]
         chances = [_chance(i, t, seed) for i, t in zip(ids.to_pylist(), raw)]
-        return pa.StructArray.from_arrays([pa.array(topics, pa.int32()), pa.array(chances, pa.float64())], ["topic", "chance"])
+        return pa.StructArray.from_arrays([pa.array(found, pa.int32()), pa.array(chances, pa.float64())], ["topic", "chance"])
 
     told = told.asNondeterministic()  # else it is worked out before the join and again after it
     whole = [F.col(f"`{c}`") for c in documents.columns]

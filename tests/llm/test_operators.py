@@ -491,6 +491,27 @@ def test_kept_documents_have_the_target_weights(spark):
     assert Counter(r.doc_id for r in rows) == {r.doc_id: r.copies for r in mixing.assign(df, p).collect() if r.copies}
 
 
+def test_topics_rest_on_every_document(spark):
+    """Six vocabularies, 3 000 documents: each topic is the mean of all of its documents, however they are partitioned."""
+    rng = random.Random(3)
+    rows = [(i, "s", "en", " ".join(f"t{i % 6}w{rng.randrange(12)}" for _ in range(40))) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    p = mixing.plan(df)
+    x = mixing.features(np.array([mixing.words(r[3].encode())[1] for r in rows]))
+    want = sorted(x[g::6].mean(0).round(5).tolist() for g in range(6))
+    assert np.allclose(sorted(p.centroids.round(5).tolist()), want, atol=3e-5)
+    assert (mixing.plan(df.repartition(7)).centroids == p.centroids).all()
+
+
+def test_a_topic_of_few_documents_is_found(spark):
+    """Forty documents of 6 000 have words of their own, and no small sample by hash has them; they are one topic."""
+    rare = {r.id for r in spark.range(6_000).orderBy(F.xxhash64("id", F.lit(7)).desc()).limit(40).collect()}
+    rows = [(i, "s", "en", " ".join(f"{'rare' if i in rare else 'word'}{(i + j) % 9}" for j in range(30))) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    by = Counter((r.doc_id in rare, r.topic) for r in mixing.assign(df, mixing.plan(df)).collect())
+    assert not {t for x, t in by if x} & {t for x, t in by if not x}
+
+
 # -- 7 URL filters -------------------------------------------------------------
 
 
