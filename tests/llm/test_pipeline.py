@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from recordframe.llm import mixing, quality_rules
@@ -34,3 +35,11 @@ def test_stages(spark):
         ids = library.encode(texts[4][r.doc_id])
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_mixture_rests_on_every_document(spark):
+    """Forty documents of 6 000, none among those of least hash, are a topic of their own and so are repeated."""
+    rare = {r.id for r in spark.range(6_000).orderBy(F.xxhash64("id", F.lit(7)).desc()).limit(40).collect()}
+    rows = [(i, "s", "en", " ".join(f"{'rare' if i in rare else 'word'}{(i + j) % 9}" for j in range(30))) for i in range(6_000)]
+    kept = corpus_pipeline.mixture(spark, spark.createDataFrame(rows, "doc_id long, source string, lang string, text string"), SF)
+    assert sum(r.doc_id in rare for r in kept.select("doc_id").collect()) > 80
