@@ -21,6 +21,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from recordframe.llm.common import id_and_text, map_rows, slices, table
 # Fixed values of the model format.
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE = 150_000  #: remembered stretches in each of two generations
+CACHE = 40_000  #: remembered stretches in each of two generations, some 200 bytes each; results do not depend on it
 _META = META.encode()
 _LONG = 48  #: characters up to which stretches are merged together
 _NONE = np.iinfo(np.int32).max
@@ -139,8 +140,8 @@ class Model:
         loose = all(META not in p.lstrip(META) for p in self.ids)
         alone = r"\n" if not any("\n" in p for p in self.ids) else ""
         self.cut = re.compile(f"{META}*[^{META}{alone}]+|{META}+" + f"|{alone}" * bool(alone)) if loose else re.compile(r"[\s\S]+")
-        self.new: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.new: dict[str, bytes] = {}  # ids as int32, a quarter of what tuples take
+        self.old: dict[str, bytes] = {}
         self._pairs()
 
     def _pairs(self) -> None:
@@ -273,10 +274,10 @@ class Model:
                 rank[r, c] = self.table_rank[self._find(symbols[r, c], symbols[r, c + 1])]
         yield rows, symbols
 
-    def _spell(self, symbols: list[int]) -> tuple[int, ...]:
+    def _spell(self, symbols: list[int]) -> bytes:
         """Symbols that are no pieces of their own become the bytes of their character."""
         if max(symbols) < len(self.pieces):
-            return tuple(symbols)
+            return np.array(symbols, np.int32).tobytes()
         out: list[int] = []
         for s in symbols:
             if s < len(self.pieces):
@@ -284,11 +285,11 @@ class Model:
             else:
                 c = chr(s - self.base) if s >= self.base else next(p for p, i in self.symbol.items() if i == s)
                 out += [self.bytes[b] for b in c.encode()]
-        return tuple(out)
+        return np.array(out, np.int32).tobytes()
 
-    def _learn(self, stretches: set[str]) -> dict[str, tuple[int, ...]]:
+    def _learn(self, stretches: set[str]) -> dict[str, bytes]:
         """The ids of stretches that the cache does not have."""
-        found: dict[str, tuple[int, ...]] = {}
+        found: dict[str, bytes] = {}
         by_length: dict[int, list[str]] = {}
         for s in stretches:
             if (hit := self.old.get(s)) is not None:
@@ -301,11 +302,12 @@ class Model:
             chars = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
             for rows, symbols in self._merge_all(self.of_char[chars]):
                 plain = symbols.max(1) < len(self.pieces)
-                for r, ids, ok in zip(rows.tolist(), symbols.tolist(), plain.tolist()):
-                    found[group[r]] = tuple(ids) if ok else self._spell(ids)
+                packed, size = symbols.astype(np.int32).tobytes(), 4 * symbols.shape[1]
+                for k, (r, ok) in enumerate(zip(rows.tolist(), plain.tolist())):
+                    found[group[r]] = packed[k * size : k * size + size] if ok else self._spell(symbols[k].tolist())
         if len(self.new) + len(found) > CACHE:
             self.old, self.new = self.new, {}
-        self.new.update((s, i) for s, i in found.items() if len(s) <= _LONG)
+        self.new.update(islice(((s, i) for s, i in found.items() if len(s) <= _LONG), CACHE))
         return found
 
     def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -323,10 +325,7 @@ class Model:
         learned = self._learn({s for x in cut for s in x if s not in known})
         out = []
         for x, align in zip(cut, aligned):
-            ids: list[int] = []
-            for s in x:
-                ids += known.get(s) or learned[s]
-            ids = np.array(ids, np.int32)
+            ids = np.frombuffer(b"".join([known.get(s) or learned[s] for s in x]), np.int32)
             out.append((ids, np.cumsum(self.spaced[ids]) - 1 if align is None else align[np.cumsum(self.written[ids])]))  # less the space put before the text
         return out
 
@@ -365,7 +364,7 @@ def encode(documents: DataFrame, model_path: str, id_col: str = "doc_id", text_c
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         m = _model(shared.value)
-        for keys, texts in slices(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for keys, texts in slices(b.column(0).to_pylist(), (t.as_py() for t in b.column(1))):
             coded = m.encode(texts)
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(i) for i, _ in coded], dtype=np.int64))).astype(np.int32))
             ids = np.concatenate([i for i, _ in coded])

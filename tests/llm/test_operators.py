@@ -512,6 +512,21 @@ def test_a_topic_of_few_documents_is_found(spark):
     assert not {t for x, t in by if x} & {t for x, t in by if not x}
 
 
+def test_codec_holds_little():
+    """Texts are taken as needed; what is remembered stays bounded after a text of very many different words."""
+    from recordframe.llm.common import slices
+
+    taken = []
+    next(slices(range(100), (taken.append(i) or b"x" * (1 << 18) for i in range(100))))
+    assert len(taken) <= 4
+    with open(sentencepiece_codec.default_model(), "rb") as f:
+        m = sentencepiece_codec.Model(f.read())
+    for k in range(3):
+        m.encode([" ".join(f"q{k}z{i}" for i in range(sentencepiece_codec.CACHE + 5_000)).encode()])
+    kept = [*m.new.items(), *m.old.items()]
+    assert max(len(m.new), len(m.old)) <= sentencepiece_codec.CACHE and all(isinstance(v, bytes) for _, v in kept)
+
+
 # -- 7 URL filters -------------------------------------------------------------
 
 
