@@ -826,3 +826,40 @@ def test_sql_of_secrets(spark, docs, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = {tuple(r) for r in registry.QUERIES["op1_secret_scans"](spark, str(tmp_path)).collect()}
     assert got == set(con.sql(secret_scans.ORACLE).fetchall())
+
+
+def test_graphs_are_the_model(monkeypatch):
+    """Training and scoring run as graphs, with what numpy gives; sets without a place and windows that end early as well."""
+    m = lm_scoring.Attention(3000, np.arange(3000.0)[::-1].copy(), 1)
+    rng = np.random.default_rng(0)
+    for most in (64, 5):
+        rows, target = rng.integers(0, 1024, (9, 32)).astype(np.int32), rng.integers(0, most, (9, 32)).astype(np.int32)
+        real = np.arange(32) < rng.integers(9, 33, 9)[:, None]
+        want = m.gradients(rows, target, real)[1]
+        with monkeypatch.context() as c:
+            c.setattr(lm_scoring.Attention, "gradients", None)
+            got = m.steps(rows, target, real)
+        assert got.keys() == want.keys() and all(got[k].shape == want[k].shape and np.allclose(got[k], want[k], atol=1e-6) for k in want)
+        for first in (0, 8):
+            places, logp = m.told(rows, target, real, first)
+            every = m.log_probabilities(rows, first).reshape(-1, 64)[np.arange(9 * (32 - first)), target[:, first:].ravel()]
+            assert sorted(places) == np.flatnonzero(real[:, first:]).tolist() and np.allclose(logp, every[places], atol=1e-5)
+
+
+def test_stretches_have_the_subwords_and_words_of_texts(subwords, monkeypatch):
+    """Of equal stretches one is encoded; what is cut anywhere else has the same subwords, at spaces of several bytes and broken UTF-8 too."""
+    rng = random.Random(1)
+    parts = [*(x.encode() for x in (" ", "  ", "\n", "\t ", "\xa0", "\x85", "\u2003", "\u3000", "\u1680", "\u2028", "\u200b", "\x1c", "'s", "'", "word", "A", "9", "é", "日本", "...", "😀")), b"\xff", b"\xc2", b"\xe2\x80"]
+    cases = [[b"".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 9))] for _ in range(500)]
+    cases += [[b""], [b"", b" "], [b"a"], [b"x y" + b" " * 5000 + b"z", b"q " + b"z" * 9000 + b" r", b"\n" * 5000]]
+    for texts in cases:
+        some, which, stops = lm_scoring.stretches(texts)
+        hashes, n = lm_scoring.words_of(some)
+        words = lm_scoring.Ragged(hashes, np.cumsum(n) - n, n)
+        for t, ids, a, b in zip(texts, subwords.of_texts(texts, some, which, stops), [0, *stops], stops):
+            assert ids.tolist() == subwords.ids(t).tolist() and words.of(which[a:b]).tolist() == lm_scoring.word_hashes(t).tolist()
+    told, encode = [], subwords._encode
+    monkeypatch.setattr(subwords, "_encode", lambda s: told.append(len(s)) or encode(s))
+    texts = [" ".join(rng.choice(["tree", "Baum", "arbre"]) for _ in range(200)).encode() for _ in range(50)]
+    list(subwords.of_texts(texts, *lm_scoring.stretches(texts)))
+    assert sum(told) < 100
